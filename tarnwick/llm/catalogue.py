@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
 from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.sharding import op4_sharding
 
@@ -13,9 +14,12 @@ from tarnwick.llm.sharding import op4_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": op4_sharding,
+        "op5_decontamination": op5_decontamination,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": OP5_SQL,
+    }
