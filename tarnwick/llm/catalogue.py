@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
 from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.sharding import op4_sharding
+from tarnwick.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op10_mixing": op10_mixing,
     }
 
