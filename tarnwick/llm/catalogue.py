@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
+from tarnwick.llm.jaccard import op7_jaccard
 from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.sharding import op4_sharding
 from tarnwick.llm.toxicity import op6_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op7_jaccard": op7_jaccard,
         "op10_mixing": op10_mixing,
     }
 
