@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
 from tarnwick.llm.jaccard import op7_jaccard
 from tarnwick.llm.mixing import op10_mixing
+from tarnwick.llm.secrets import OP8_SQL, op8_secrets
 from tarnwick.llm.sharding import op4_sharding
 from tarnwick.llm.toxicity import op6_toxicity
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op7_jaccard": op7_jaccard,
+        "op8_secrets": op8_secrets,
         "op10_mixing": op10_mixing,
     }
 
@@ -26,4 +28,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": OP5_SQL,
+        "op8_secrets": OP8_SQL,
     }
