@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
 from tarnwick.llm.jaccard import op7_jaccard
+from tarnwick.llm.langid import op2_langid
 from tarnwick.llm.mixing import op10_mixing
+from tarnwick.llm.pii import op9_pii
 from tarnwick.llm.secrets import OP8_SQL, op8_secrets
 from tarnwick.llm.sharding import op4_sharding
 from tarnwick.llm.toxicity import op6_toxicity
@@ -16,11 +18,13 @@ from tarnwick.llm.toxicity import op6_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_langid": op2_langid,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op7_jaccard": op7_jaccard,
         "op8_secrets": op8_secrets,
+        "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
     }
 
