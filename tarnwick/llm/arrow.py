@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -57,3 +58,41 @@ def with_columns(df: DataFrame, text_col: str, schema: str, make: Callable[[], C
                 yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, target)], schema=target)
 
     return df.mapInArrow(run, out)
+
+
+def whole_groups(it: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by keys (longs), with where each group begins and the end.
+
+    Holds one batch and one group at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def done() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        first = np.ones(rows.num_rows, dtype=bool)
+        first[1:] = False
+        for k in keys:
+            v = rows.column(k).to_numpy()
+            first[1:] |= v[1:] != v[:-1]
+        return rows, np.append(np.flatnonzero(first), rows.num_rows)
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, dtype=bool)
+        end = []
+        for k in keys:
+            v = batch.column(k).to_numpy()
+            same &= v == v[-1]
+            end.append(v[-1])
+        cut = 0 if same.all() else int(len(same) - np.argmin(same[::-1]))
+        if cut or last != tuple(end):
+            held += [batch.slice(0, cut)] if cut else []
+            if held:
+                yield done()
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(end)
+    if held:
+        yield done()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
 from tarnwick.llm.jaccard import op7_jaccard
 from tarnwick.llm.langid import op2_langid
+from tarnwick.llm.lattice import op1_lattice
 from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.pii import op9_pii
 from tarnwick.llm.secrets import OP8_SQL, op8_secrets
@@ -18,6 +19,7 @@ from tarnwick.llm.toxicity import op6_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lattice": op1_lattice,
         "op2_langid": op2_langid,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
