@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.arrow import pieces, raw, with_columns
+from tarnwick.llm.arrow import pieces, raw, whole_groups, with_columns
 from tarnwick.llm.common import components, few, only_in, stored, table
 
 SHINGLE = 5
@@ -293,28 +293,43 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
 
 
+def _crossed(ids: np.ndarray, part: np.ndarray, n: np.ndarray, cells: np.ndarray, own: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block with another (or with itself) that lie in different parts and pass the bound."""
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    out: list[np.ndarray] = []
+    step = max(1, 200_000 // max(len(right), 1))
+    for at in range(0, len(left), step):
+        i, j = (v.ravel() for v in np.meshgrid(left[at : at + step], right, indexing="ij"))
+        ok = (part[i] != part[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        if x == y:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        ok = bounded(cells[i], cells[j], n[i], n[j])
+        out.append(np.stack([ids[i[ok]], ids[j[ok]]]))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+    return both.min(axis=0), both.max(axis=0)
+
+
 def across(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (sig, id, part) -> pairs of different parts of a bucket that pass the bound.  Large buckets are split into pairs of blocks."""
-    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "sig").join(known.select("id", "n", "cells"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    """members (sig, id, part) -> pairs of different parts of a bucket that pass the bound.
+
+    Buckets with the same members count once.  Large ones are split into pairs of blocks.
+    """
+    sizes = stored(members.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("m")))
+    once = sizes.groupBy("c", "m").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    dealt = members.join(once, "sig").join(known.select("id", "n", "cells"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part", "n", "cells")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = np.frombuffer(b"".join(pdf["cells"]), dtype=np.uint8).reshape(-1, CELLS)
-        ids, part, n, own = (pdf[c].to_numpy() for c in ("id", "part", "n", "own"))
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        rights = np.flatnonzero(own == y)
-        found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(own == x):
-            j = rights[(ids[rights] > ids[i]) | (x != y)]
-            j = j[(part[j] != part[i]) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))]
-            if len(j):
-                j = j[bounded(cells[i][None], cells[j], n[i], n[j])]
-                found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("sig", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in whole_groups(it, ("sig", "x", "y")):
+            ids, part, n, own, x, y = (rows.column(c).to_numpy() for c in ("id", "part", "n", "own", "x", "y"))
+            cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+            out = [_crossed(ids[s:e], part[s:e], n[s:e], cells[s:e], own[s:e], x[s], y[s]) for s, e in zip(at[:-1], at[1:])]
+            pairs = np.unique(np.concatenate([np.stack(p) for p in out], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], ["a", "b"])
+
+    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
