@@ -14,6 +14,7 @@ from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.pii import op9_pii
 from tarnwick.llm.secrets import OP8_SQL, op8_secrets
 from tarnwick.llm.sharding import op4_sharding
+from tarnwick.llm.suffix import op3_suffix
 from tarnwick.llm.toxicity import op6_toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lattice": op1_lattice,
         "op2_langid": op2_langid,
+        "op3_suffix": op3_suffix,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
