@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,57 +59,82 @@ def only_in(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", lim
     return df.join(F.broadcast(ids) if few(ids, limit) else ids, key, how)
 
 
-def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch, which returns the columns of the output."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
+def crc_mod(col: Column, m: int) -> Column:
+    """crc32 of the id as text, mod m; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % m
+
+
+#: Links that one task contracts at once.
+LOCAL_LINKS = 500_000
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """links (u, v) as stars: each task joins every id of its share to the smallest id that the share's links reach."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is None:
-                    continue
-                if isinstance(out, dict):
-                    out = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in target], schema=target)
-                yield out
+        held: list[np.ndarray] = []
 
-    return df.mapInArrow(run, schema)
+        def done() -> pa.RecordBatch:
+            ids, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            low = smallest(len(ids), *at.reshape(2, -1))
+            off = np.flatnonzero(low != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[off]), pa.array(ids[low[off]])], ["u", "v"])
 
+        for batch in it:
+            if batch.num_rows:
+                held.append(np.stack([batch.column(c).to_numpy() for c in ("u", "v")]))
+                if sum(x.shape[1] for x in held) > 2 * LOCAL_LINKS:
+                    yield done()
+                    held.clear()
+        if held:
+            yield done()
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z alone."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return links.coalesce(tasks).mapInArrow(run, "u long, v long")
 
 
-def crc_mod(col: Column, m: int) -> Column:
-    """crc32 of the id as text, mod m; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % m
+def smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For places 0 to n - 1, the smallest place that each reaches by the links i - j."""
+    own = np.arange(n)
+    while True:
+        low = np.minimum(own[i], own[j])
+        new = own.copy()
+        np.minimum.at(new, own[i], low)
+        np.minimum.at(new, own[j], low)
+        new = new[new]
+        if (new == own).all():
+            return own
+        own = new
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: rows (id, component) with the smallest id that links reach.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each a
-    grouped minimum and a join over links only; state is written to the shared
-    folder after each round, so nothing is collected and lost executors cost one
-    round.  Ids that have no link are not returned.
+    Each task first contracts its share of the links to stars.  If there was one share, that is the
+    result.  Otherwise large-star and small-star steps alternate with contraction (Kiveris et
+    al., 2014): grouped minima and joins over links only, written to the shared folder after each
+    round, so that nothing is collected and a lost executor costs one round.  Ids without a link are not
+    returned.
     """
-    links = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
+    n = links.count()
     before = None
     while True:
+        tasks = -(-n // LOCAL_LINKS) or 1
+        new = stored(contracted(links, tasks))
+        forget(links)
+        links = new
+        if tasks == 1:
+            break
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = stored(small)
-        mark = new.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
+        mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         forget(links)
-        links = new
-        if mark == before or mark["n"] == 0:
+        links, n = new, mark["n"]
+        if mark == before or not n:
             break
         before = mark
     found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))

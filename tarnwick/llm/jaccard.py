@@ -17,9 +17,9 @@ as pairs.  Then
 
 1. each document is compared with the smallest id it met,
 2. with the first id of each of its buckets that is not yet in its component,
-3. and within buckets that still hold several components all pairs between different
-   components are put to a bound (counts of the sets in 64 cells), block by block, and
-   those that pass it are compared.
+3. and where buckets still hold several components, all documents that share such a bucket
+   with its first id come together once, and pairs between different components are put to a
+   bound (counts of the sets in CELLS cells), block by block; those that pass it are compared.
 
 Compared is by exact sets, built from the texts.  So all links between components are
 found, and no group's pairs are listed.
@@ -49,7 +49,7 @@ from tarnwick.llm.common import components, few, only_in, stored, table
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
-CELLS = 64
+CELLS = 256
 RATIO = 1.5  # of a band's bounds
 ENUMERATED = 60  # largest difference up to which subsets of parts are enumerated in any case; beyond, one-part signatures may be cheaper
 ELEMENTS = 2.5  # behind a signature, at least, where a scheme allows it
@@ -200,7 +200,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out["n"].append(len(h))
                 out["s1"].append(int(mix(h + ODD).sum().astype(np.int64)) if len(h) else 0)
                 out["s2"].append(int(np.bitwise_xor.reduce(mix(h ^ M1)).astype(np.int64)) if len(h) else 0)
-                out["cells"].append(np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                out["cells"].append(np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
             return out
 
         return fn
@@ -311,25 +311,21 @@ def _crossed(ids: np.ndarray, part: np.ndarray, n: np.ndarray, cells: np.ndarray
 
 
 def across(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (sig, id, part) -> pairs of different parts of a bucket that pass the bound.
-
-    Buckets with the same members count once.  Large ones are split into pairs of blocks.
-    """
-    sizes = stored(members.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("m")))
-    once = sizes.groupBy("c", "m").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    dealt = members.join(once, "sig").join(known.select("id", "n", "cells"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    """members (head, id, part) -> pairs of different parts of a head that pass the bound.  Large heads are split into pairs of blocks."""
+    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "head").join(known.select("id", "n", "cells"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part", "n", "cells")
+    dealt = dealt.select("head", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part", "n", "cells")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, at in whole_groups(it, ("sig", "x", "y")):
+        for rows, at in whole_groups(it, ("head", "x", "y")):
             ids, part, n, own, x, y = (rows.column(c).to_numpy() for c in ("id", "part", "n", "own", "x", "y"))
             cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
             out = [_crossed(ids[s:e], part[s:e], n[s:e], cells[s:e], own[s:e], x[s], y[s]) for s, e in zip(at[:-1], at[1:])]
             pairs = np.unique(np.concatenate([np.stack(p) for p in out], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], ["a", "b"])
 
-    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -351,9 +347,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         still = stored(apart(open_, parts))
         if not still.isEmpty():
             sigs = met.join(F.broadcast(still) if few(still) else still, ["a", "b"], "left_semi").select("sig").distinct()
-            rows = met.join(sigs, "sig", "left_semi")
-            rows = rows.select("sig", F.col("b").alias("id")).union(rows.select("sig", F.col("a").alias("id"))).distinct()
-            rows = rows.join(parts, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
+            rows = met.join(sigs, "sig", "left_semi").select(F.col("a").alias("head"), F.col("b").alias("id")).distinct()
+            rows = rows.union(rows.select("head", F.col("head").alias("id")).distinct())
+            rows = rows.join(parts, "id", "left").select("head", "id", F.coalesce("component", "id").alias("part"))
             links = links.union(verified(across(rows, kept), own))
     return known, stored(components(links.union(copies)))
 

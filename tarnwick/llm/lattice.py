@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.arrow import whole_groups
-from tarnwick.llm.common import components, stored, table
+from tarnwick.llm.common import components, smallest, stored, table
 
 LEAST = 0.98
 TABLES = 5
@@ -147,20 +147,6 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
     return here
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest place that each place reaches by the links i - j."""
-    own = np.arange(n)
-    while True:
-        low = np.minimum(own[i], own[j])
-        new = own.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == own).all():
-            return own
-        own = new
-
-
 def compared(ids: np.ndarray, x: np.ndarray, listed: np.ndarray, home: np.ndarray, own: np.ndarray, cell: int, bx: int, by: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one pair of blocks of a cell: links first met here by place, and the place each place is joined to."""
     order = np.argsort(ids, kind="stable")
@@ -181,7 +167,7 @@ def compared(ids: np.ndarray, x: np.ndarray, listed: np.ndarray, home: np.ndarra
             count += np.bincount(a[new], minlength=len(ids)) + np.bincount(b[new], minlength=len(ids))
         si.append(i)
         sj.append(j)
-    return count, _labels(len(ids), np.concatenate(si), np.concatenate(sj)) if si else np.arange(len(ids))
+    return count, smallest(len(ids), np.concatenate(si), np.concatenate(sj)) if si else np.arange(len(ids))
 
 
 def linked(vectors: DataFrame) -> DataFrame:
