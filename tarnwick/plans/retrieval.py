@@ -43,7 +43,7 @@ SMALL = S.Params(cand_files=5, graph_extras=2)  # ten files are few: a small bun
 
 
 def bundle(spark, sf_dir: str) -> DataFrame:
-    return B.assemble(scored(spark, sf_dir), A.label_edges(spark, sf_dir), SMALL)
+    return B.assemble(scored(spark, sf_dir), A.label_edges(spark, sf_dir), SMALL).persist()
 
 
 def fusion(spark, sf_dir: str) -> DataFrame:
@@ -60,17 +60,17 @@ def recall_floor(spark, sf_dir: str) -> DataFrame:
 
 def selection(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.selection(s, B.assemble(s, A.label_edges(spark, sf_dir), SMALL), SMALL)
+    return B.selection(s, bundle(spark, sf_dir), SMALL)
 
 
 def prune(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.prune(s, B.assemble(s, A.label_edges(spark, sf_dir), SMALL), SMALL).groupBy("qid", "role").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"))
+    return B.prune(s, bundle(spark, sf_dir), SMALL).groupBy("qid", "role").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"))
 
 
 def chunks_for_file(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.chunks_for_file(s, B.assemble(s, A.label_edges(spark, sf_dir), SMALL), SMALL).where("file = 'src/l3.py'")
+    return B.chunks_for_file(s, bundle(spark, sf_dir), SMALL).where("file = 'src/l3.py'")
 
 
 def search_multi(spark, sf_dir: str) -> DataFrame:
