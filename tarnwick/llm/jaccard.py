@@ -53,7 +53,7 @@ CELLS = 256
 RATIO = 1.5  # of a band's bounds
 ENUMERATED = 60  # largest difference up to which subsets of parts are enumerated in any case; beyond, one-part signatures may be cheaper
 ELEMENTS = 2.5  # behind a signature, at least, where a scheme allows it
-CACHE = 400_000
+CACHE = 150_000
 BLOCK = 2048
 SALT = 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key, sets = WordHashes(), None, []
-        for batch in it:
+        for batch in (whole.slice(at, 256) for whole in it for at in range(0, whole.num_rows, 256)):
             a, b = [], []
             for x, s, y, t in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), raw(batch.column("text"))):
                 if key != (x, s):
