@@ -16,7 +16,7 @@ by anchors first:
    neighbours agree is part of the run one byte to the left and is passed over; in the others
    a stack scan of common prefixes yields the tree of intervals, each a maximal repeat with
    all its occurrences, of which all but the first are removed.
-   An anchor with more than GROUP contexts is worked out from its strings' hashes instead,
+   An anchor with more than GROUP (16 384) contexts is worked out from its strings' hashes instead,
    by a grouped minimum, with the same result.
 4. Removed ranges meet by document; only documents that have some are joined with them.
 
@@ -44,8 +44,8 @@ GRAM = 37
 SPREAD = LENGTH - GRAM + 1  # 64 places
 LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
-GROUP = 32768
-BATCH = 6000
+GROUP = 16384
+BATCH = 3000
 STEP = 1 << 21
 LOW = -(2**63)
 U = np.uint64
@@ -167,7 +167,14 @@ def sorted_out(rows: DataFrame) -> DataFrame:
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
-    return np.unique(key.ravel(), return_inverse=True)[1].reshape(key.shape).astype(np.int64)
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(key, axis=None)
+    sorted_ = key.ravel()[order]
+    rank = np.zeros(len(order), dtype=np.int32)
+    np.cumsum(sorted_[1:] != sorted_[:-1], out=rank[1:])
+    out = np.empty_like(rank)
+    out[order] = rank
+    return out.reshape(key.shape)
 
 
 def repeats(ids: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -182,7 +189,7 @@ def repeats(ids: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tupl
     have = 8
     while have < LENGTH:  # ranks of prefixes twice as long, at last of LENGTH bytes
         step = min(have, LENGTH - have)
-        rank = _ranks(rank[:, :-step] << 32 | rank[:, step:])
+        rank = _ranks(rank[:, :-step].astype(np.int64) << 32 | rank[:, step:])
         have += step
     rank = rank[:, :SPREAD]
     ctx, off = np.nonzero(np.arange(rank.shape[1])[None] <= (size - LENGTH)[:, None])
@@ -275,7 +282,7 @@ def by_arrays(rows: DataFrame) -> DataFrame:
             ids, s, t = group.column("id").to_numpy(), group.column("s").to_numpy().astype(np.int64), raw(group.column("t").combine_chunks())
             lo, out = 0, []
             for hi in range(1, len(at)):
-                if at[hi] - at[lo] >= BATCH or hi == len(at) - 1:
+                if hi == len(at) - 1 or at[hi + 1] - at[lo] > BATCH:  # whole anchors, at most BATCH contexts or one anchor
                     a, b = at[lo], at[hi]
                     out += repeats(ids[a:b], s[a:b], t[a:b])
                     lo = hi
