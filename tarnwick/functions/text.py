@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,16 +11,18 @@ LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\u0085\\u2028\\u2029]"
 CAMEL_1, CAMEL_2 = "([A-Z]+)([A-Z][a-z])", "[A-Z]?[a-z]+|[A-Z]+"
 
 # Words that don't make a topic.
-STOP_WORDS = sorted(set(
-    "a an and are as at be by can do does for from how i in is it of on or that the this to was what when where which who why will with".split()
-))
+STOP_WORDS = (
+    "a an and are as at be been but by can do does doing done for from get gets had has have how i if in into is it its of on or our so than that "
+    "the their then there these they this to under up upon use used uses was we what when where which while who why will with within work works would you your"
+).split()
 
-# Path segments and name tokens of tests and demonstrations.
-TEST_SEGMENTS = ["__tests__", "spec", "specs", "test", "testing", "tests"]
-DEMO_SEGMENTS = ["demo", "demos", "example", "examples", "sample", "samples", "tutorial", "tutorials"]
+# Folders of tests and of demonstrations.
+TEST_SEGMENTS = ["test", "tests", "spec", "specs", "__tests__", "testing", "fixtures"]
+DEMO_SEGMENTS = ["example", "examples", "samples", "demo", "demos", "benchmarks", "typing-examples"]
+TEST_TOKEN = "(^|[._-])(test|spec)s?([._-]|$)"
 
 # Fence language by extension.
-FENCE = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "rb": "ruby", "go": "go", "rs": "rust", "php": "php", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "sh": "bash", "sql": "sql"}
+FENCE = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript", "rb": "ruby", "go": "go", "php": "php", "md": "markdown", "markdown": "markdown", "mdx": "markdown"}
 
 
 def c(x: Column | str) -> Column:
@@ -86,14 +90,24 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(c(path), "\\.([^./]+)$", 1))
 
 
-def is_test_path(path: Column | str) -> Column:
+def _folders(path: Column | str) -> Column:
     parts = F.split(F.lower(c(path)), "/")
-    named = F.exists(parts, lambda s: F.regexp_replace(s, "\\.[^.]*$", "").rlike("(^|[._-])(test|spec)s?([._-]|$)"))
-    return F.arrays_overlap(parts, F.lit(TEST_SEGMENTS)) | named
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+
+def is_test_path(path: Column | str) -> Column:
+    named = F.exists(F.split(F.lower(c(path)), "/"), lambda s: F.regexp_replace(s, "\\.[^.]*$", "").rlike(TEST_TOKEN))
+    return F.arrays_overlap(_folders(path), F.lit(TEST_SEGMENTS)) | named
+
+
+def is_test(path: str) -> bool:
+    """The same for one path on the driver."""
+    parts = path.lower().split("/")
+    return any(p in TEST_SEGMENTS for p in parts[:-1]) or any(re.search(TEST_TOKEN, p.rpartition(".")[0] or p) for p in parts)
 
 
 def is_demo_path(path: Column | str) -> Column:
-    return F.arrays_overlap(F.split(F.lower(c(path)), "/"), F.lit(DEMO_SEGMENTS))
+    return F.arrays_overlap(_folders(path), F.lit(DEMO_SEGMENTS))
 
 
 def under_path(path: Column | str, scope: str) -> Column:
@@ -127,11 +141,17 @@ def cache_key(model: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(model), F.lit("\0"), text))
 
 
+# What a rendered answer adds to its prose.
+CITATION, FENCED, BLANKS = "\\[\\[[^\\]]*\\]\\]", "(?s)```.*?```", "\\n{3,}"
+CODE_HEAD, BACK_REFERENCE = "\\*\\*`[^`\\n]+`\\s*L\\d+(?:-\\d+)?\\*\\*[^\\n]*", "\\*\\(see\\s+`[^`\\n]+`\\s*above\\)\\*"
+
+
 def strip_code(text: Column | str) -> Column:
-    """An answer's prose: without citations, fenced code and runs of blank lines."""
-    t = F.regexp_replace(c(text), "(?s)```.*?```", "")
-    t = F.regexp_replace(t, "\\[\\[[0-9][^\\]]*\\]\\]", "")
-    return F.trim(F.regexp_replace(t, "\\n{3,}", "\n\n"))
+    """An answer's prose: without fenced code, its headers, references to earlier code, citations and runs of blank lines."""
+    t = c(text)
+    for mark in (FENCED, CODE_HEAD, BACK_REFERENCE, CITATION):
+        t = F.regexp_replace(t, mark, "")
+    return F.trim(F.regexp_replace(t, BLANKS, "\n\n"))
 
 
 def clean_inline(text: Column | str) -> Column:

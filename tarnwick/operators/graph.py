@@ -147,9 +147,7 @@ def tolls(degree: dict[str, int], nodes: list[str]) -> dict[str, int]:
     out = {}
     for n in nodes:
         d = degree.get(n, 0)
-        parts = n.lower().split("/")
-        test = any(s in T.TEST_SEGMENTS for s in parts)
-        out[n] = (4 if n.endswith("__init__.py") else 0) + (4 if test else 0) + (3 + d - floor if d > floor else 0)
+        out[n] = (4 if n.endswith("__init__.py") else 0) + (4 if T.is_test(n) else 0) + (3 + d - floor if d > floor else 0)
     return out
 
 

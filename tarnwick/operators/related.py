@@ -9,7 +9,7 @@ from tarnwick.functions import text as T
 from tarnwick.functions.vectors import small
 
 # Names of change logs, in order of preference.
-CHANGELOGS = ["CHANGELOG.md", "CHANGES.md", "HISTORY.md", "CHANGELOG.rst", "CHANGES.rst", "NEWS.md"]
+CHANGELOGS = ["CHANGES.md", "CHANGELOG.md", "CHANGES.rst", "CHANGELOG.rst", "HISTORY.md", "NEWS.md"]
 # Templates of questions.
 TEMPLATES = ["How does {} work?", "What calls {}?", "Where does {} fail?"]
 

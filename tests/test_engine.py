@@ -179,7 +179,7 @@ def test_gitignore(spark):
 
 
 def test_paths(spark):
-    rows = [("a/tests/x.py", True, False), ("src/user_test.go", True, False), ("src/latest.py", False, False), ("examples/x.py", False, True), ("src/x.spec.ts", True, False)]
+    rows = [("a/tests/x.py", True, False), ("src/user_test.go", True, False), ("src/latest.py", False, False), ("examples/x.py", False, True), ("a/fixtures/x.py", True, False), ("demo", False, False), ("src/x.spec.ts", True, False)]
     df = spark.createDataFrame(rows, "p string, t boolean, d boolean").select("*", T.is_test_path("p").alias("a"), T.is_demo_path("p").alias("b"), T.norm_rel(F.concat(F.lit("x/../"), F.col("p"))).alias("n")).collect()
     assert all(r["t"] == r["a"] and r["d"] == r["b"] and r["n"] == r["p"] for r in df)
 
@@ -235,7 +235,8 @@ def test_flows(spark):
     assert [r["id"] for r in flows.stale(f, now).collect()] == [2] and flows.prune_stale(f, now).count() == 1
     again = flows.cache_flows(f, f.where("id = 1").withColumn("id", F.lit(9).cast("long")))
     assert {r["id"] for r in again.collect()} == {2, 9}
-    assert T.STOP_WORDS == sorted(T.STOP_WORDS)
+    prose = spark.createDataFrame([("a [[1]] b\n```\nx\n```\n**`f.py` L1-2** — g\n*(see `f:L1` above)*\n\n\n\nc",)], "t string").select(T.strip_code("t").alias("p")).first()["p"]
+    assert prose == "a  b\n\nc"
 
 
 def test_rerank():
