@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm.decontaminate import OP5_SQL, op5_decontamination
-from tarnwick.llm.jaccard import op7_jaccard
+from tarnwick.llm.jaccard import OP7_SQL, op7_jaccard
 from tarnwick.llm.langid import op2_langid
-from tarnwick.llm.lattice import op1_lattice
+from tarnwick.llm.lattice import OP1_SQL, op1_lattice
 from tarnwick.llm.mixing import op10_mixing
 from tarnwick.llm.pii import op9_pii
 from tarnwick.llm.secrets import OP8_SQL, op8_secrets
-from tarnwick.llm.sharding import op4_sharding
-from tarnwick.llm.suffix import op3_suffix
+from tarnwick.llm.sharding import OP4_SQL, op4_sharding
+from tarnwick.llm.suffix import OP3_SQL, op3_suffix
 from tarnwick.llm.toxicity import op6_toxicity
 
 
@@ -35,6 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lattice": OP1_SQL,
+        "op3_suffix": OP3_SQL,
+        "op4_sharding": OP4_SQL,
         "op5_decontamination": OP5_SQL,
+        "op7_jaccard": OP7_SQL,
         "op8_secrets": OP8_SQL,
     }

@@ -374,3 +374,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, root) AS (SELECT doc_id, doc_id FROM doc UNION SELECT way.b, reach.root FROM reach JOIN way ON way.a = reach.id),
+part AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN part ON part.id = doc.doc_id
+"""

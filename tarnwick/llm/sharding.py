@@ -186,3 +186,15 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+OP4_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda acc, i: CASE WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, b)) AS t),
+doc AS (SELECT doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 16 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+crc AS (SELECT x, xor(list_reduce(list_transform(range(strlen(x)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda acc, b: xor(acc >> 8, t[xor(acc, b) % 256 + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM (SELECT DISTINCT x, h FROM doc), bits),
+place AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS pos, sum(size) OVER (PARTITION BY k) AS whole, sum(size) OVER () AS total FROM doc),
+unit AS (SELECT *, CASE WHEN whole <= total // (40 * 20) THEN 2 * min(pos) OVER (PARTITION BY k) + whole ELSE 2 * pos + size END AS mid FROM place),
+own AS (SELECT *, CAST(least(39, mid * 40 // (2 * total)) AS INTEGER) AS shard FROM unit)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM own JOIN crc USING (x)
+"""

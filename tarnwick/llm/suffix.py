@@ -383,3 +383,17 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+place AS (SELECT doc_id, s, hash(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM doc)),
+ordered AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM place),
+gone AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM ordered WHERE r > 1),
+isle AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM gone),
+cut AS (SELECT doc_id, i, min(s) AS lo, max(s) + 100 AS hi FROM isle GROUP BY doc_id, i),
+cuts AS (SELECT doc_id, list({'lo': lo, 'hi': hi} ORDER BY lo) AS c FROM cut GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(list_sum(list_transform(c, lambda x: x.hi - x.lo)), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(c), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(c) + 2), lambda i: substr(h, 2 * coalesce(c[i - 1].hi, 0) + 1, 2 * (coalesce(c[i].lo, n) - coalesce(c[i - 1].hi, 0)))), '') END)) AS kept_sha256
+FROM doc LEFT JOIN cuts USING (doc_id)
+"""
