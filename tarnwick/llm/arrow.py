@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Texts are worked on in pieces of about so many bytes, so memory doesn't follow the batch; a text is never cut.
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Arrow batches between the JVM and Python, in bytes: several tasks of an executor hold one at a time on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df; from now on the session sends Arrow batches of at most BATCH_BYTES, as texts may be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub("[^0-9-]", "", conf.get(name)) or -1)
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -57,7 +69,7 @@ def with_columns(df: DataFrame, text_col: str, schema: str, make: Callable[[], C
                 arrays = [part.column(f.name) for f in kept] + [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=target.field(f.name).type) for f in added]
                 yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, target)], schema=target)
 
-    return df.mapInArrow(run, out)
+    return sized(df).mapInArrow(run, out)
 
 
 def whole_groups(it: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.arrow import pieces, with_columns
+from tarnwick.llm.arrow import pieces, sized, with_columns
 from tarnwick.llm.common import table
 
 WINDOW = 13
@@ -136,7 +136,7 @@ def counted(docs: DataFrame, text_col: str, vocab: dict[bytes, int]) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["w", "n"])
 
     out = np.zeros(len(vocab), dtype=np.int64)
-    for row in docs.select(text_col).mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # a row a word of the block
+    for row in sized(docs).select(text_col).mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # a row a word of the block
         out[row["w"]] = row["n"]
     return out
 
@@ -164,7 +164,7 @@ def _searched(df: DataFrame, text_col: str, shared, more: bool) -> DataFrame:
                 arrays = [pa.array(new[f.name], type=f.type) if f.name in ("spans", "items") else part.column(f.name) for f in part.schema]
                 yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
-    return held.mapInArrow(run, held.schema)
+    return sized(held).mapInArrow(run, held.schema)
 
 
 def hits(spans: Column) -> Column:

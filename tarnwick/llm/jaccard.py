@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.arrow import pieces, raw, whole_groups, with_columns
+from tarnwick.llm.arrow import pieces, raw, sized, whole_groups, with_columns
 from tarnwick.llm.common import components, few, only_in, stored, table
 
 SHINGLE = 5
@@ -233,7 +233,7 @@ def buckets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (sig, lead, ids)], ["sig", "a", "b"])
             last = (sig[-1], lead[-1])
 
-    flat = docs.mapInArrow(emit, "sig long, id long")
+    flat = sized(docs).mapInArrow(emit, "sig long, id long")
     return flat.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "sig long, a long, b long")
 
 
@@ -283,7 +283,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return stored(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long"))
+    return stored(sized(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long"))
 
 
 def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.arrow import whole_groups
+from tarnwick.llm.arrow import sized, whole_groups
 from tarnwick.llm.common import components, smallest, stored, table
 
 LEAST = 0.98
@@ -131,7 +131,7 @@ def indexed(vectors: DataFrame) -> DataFrame:
                         pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel())),
                     ], ["id", "x", "cells"])
 
-    return vectors.mapInArrow(run, "id long, x binary, cells array<long>")
+    return sized(vectors).mapInArrow(run, "id long, x binary, cells array<long>")
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:

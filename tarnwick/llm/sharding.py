@@ -3,8 +3,9 @@
 Records are ordered by (text key, doc_id), where the text key is the first 60 bits
 of the text's MD5; rows with equal texts share it and stand side by side.
 
-1. A size-weighted sample of keys (exponential keys, so that a row's chance follows
-   its size) of fixed size is drawn; every k-th sampled key is a range boundary.
+1. A size-weighted sample of keys is drawn (exponential clocks, so that a row's chance
+   follows its size), of about the same number for any input; every k-th sampled key is a
+   range boundary.
 2. Rows are counted and measured per range.  A range over twice the mean is sampled
    again and subdivided; a text key that fills several ranges (a huge group of copies)
    is subdivided by doc_id.
@@ -51,9 +52,12 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sample(keys: DataFrame, n: int, seed: int) -> list[tuple[int, int]]:
-    """n keys drawn without replacement, by size."""
+    """About n keys, each drawn by its size: those whose exponential clock, as fast as their size, rings early enough."""
+    total = keys.agg(F.sum("_tw_size")).first()[0]
+    if not total:
+        return []
     u = (F.pmod(F.xxhash64("_tw_h", "_tw_id", F.lit(seed)), F.lit(2**52)) + 1) / float(2**52)
-    rows = keys.select("_tw_h", "_tw_id", (-F.log(u) / F.col("_tw_size")).alias("_tw_k")).orderBy("_tw_k", "_tw_h", "_tw_id").limit(n).collect()
+    rows = keys.where(-F.log(u) / F.col("_tw_size") <= n / total).select("_tw_h", "_tw_id").collect()
     return sorted((r[0], r[1]) for r in rows)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.arrow import pieces, raw, whole_groups
+from tarnwick.llm.arrow import pieces, raw, sized, whole_groups
 from tarnwick.llm.common import few, only_in, stored, table
 
 LENGTH = 100
@@ -123,7 +123,7 @@ def anchored(docs: DataFrame) -> DataFrame:
                     h, c, i, p, r = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(i), pa.array(p.astype(np.int32)), pa.array(r.astype(np.int32))], ["h", "c", "id", "p", "r"])
 
-    return docs.mapInArrow(run, "h long, c long, id long, p int, r int")
+    return sized(docs).mapInArrow(run, "h long, c long, id long, p int, r int")
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def contexts(firsts: DataFrame, docs: DataFrame) -> DataFrame:
                     t = [texts[d][x:y] for d, x, y in zip(doc[at : at + 20_000], s[at : at + 20_000], e[at : at + 20_000])]
                     yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 20_000]), pa.array(ids[at : at + 20_000]), pa.array(s[at : at + 20_000]), pa.array(t, pa.binary())], ["h", "id", "s", "t"])
 
-    return here.join(by, "id").select("id", "text", "own").mapInArrow(run, "h long, id long, s int, t binary")
+    return sized(here).join(by, "id").select("id", "text", "own").mapInArrow(run, "h long, id long, s int, t binary")
 
 
 def by_arrays(rows: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     mark = F.broadcast(ids) if few(ids) else ids
     with_cuts = own.join(mark, "id", "left_semi").join(cuts, "id").select("own_id", "text", "cuts")
-    out = whole(own.join(mark, "id", "left_anti"), False).union(with_cuts.mapInArrow(run, f"own_id {dict(rows.dtypes)['own_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    out = whole(own.join(mark, "id", "left_anti"), False).union(sized(with_cuts).mapInArrow(run, f"own_id {dict(rows.dtypes)['own_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return (out if copied is None else out.union(whole(copied, True))).withColumnRenamed("own_id", id_col)
 
 
