@@ -1,4 +1,7 @@
-"""From scored chunks to a tiered bundle: rank files, take the core, add related files, project."""
+"""From scored chunks to a tiered bundle: rank files, take the core, add related files, project.
+
+Sides of joins are left to adaptive execution, which broadcasts what it measured to be small.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
-from tarnwick.functions.vectors import small
 from tarnwick.params import DEFAULTS, Params
 
 def rank_files(scored: DataFrame) -> DataFrame:
@@ -23,9 +25,9 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 def graph_extras(ranked: DataFrame, edges: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Best-scored neighbours of the first candidates that aren't candidates: (qid, file, score, best)."""
-    heads = small(ranked.where(F.col("rank") <= p.extras_from).select("qid", "file"))
+    heads = (ranked.where(F.col("rank") <= p.extras_from).select("qid", "file"))
     near = neighbours(edges).join(heads, "file").select("qid", F.col("other").alias("file")).distinct()
-    rows = ranked.join(small(near), ["qid", "file"], "left_semi").where(F.col("rank") > p.cand_files)
+    rows = ranked.join((near), ["qid", "file"], "left_semi").where(F.col("rank") > p.cand_files)
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("r") <= p.graph_extras).select("qid", "file", "score", "best")
 
 
@@ -41,7 +43,7 @@ def assemble(scored: DataFrame, edges: DataFrame | None = None, p: Params = DEFA
     Tier 1 (core) is at most tier1_max candidates near the top score; tier 2 (related) the other
     candidates, then graph neighbours, then the recall floor.  Nothing related is dropped.
     """
-    ranked = rank_files(scored)
+    ranked = rank_files(scored).persist()  # read by every part below
     cand = ranked.where(F.col("rank") <= p.cand_files)
     top = F.first("score").over(Window.partitionBy("qid").orderBy("rank"))
     cand = cand.withColumn("core", (F.col("rank") <= p.tier1_max) & ((F.col("score") >= p.tier1_gap * top) | (F.col("rank") == 1)))
@@ -60,7 +62,7 @@ def assemble(scored: DataFrame, edges: DataFrame | None = None, p: Params = DEFA
 
 def core_chunks(scored: DataFrame, bundle: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Chunks kept of core files: near the file's best, at most chunk_cap."""
-    own = scored.join(small(bundle.where("tier = 1").select("qid", "file")), ["qid", "file"], "left_semi")
+    own = scored.join((bundle.where("tier = 1").select("qid", "file")), ["qid", "file"], "left_semi")
     w = Window.partitionBy("qid", "file").orderBy(F.col("score").desc(), "id")
     return own.withColumns({"r": F.row_number().over(w), "top": F.first("score").over(w)}).where((F.col("r") <= p.chunk_cap) & (F.col("score") >= p.chunk_keep * F.col("top"))).drop("r", "top")
 
@@ -75,7 +77,7 @@ def selection(scored: DataFrame, bundle: DataFrame, p: Params = DEFAULTS) -> Dat
 def prune(scored: DataFrame, bundle: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Selected chunks and, as noise, the other chunks of the bundle's files; scores rounded to 4 before sorting."""
     chosen = selection(scored, bundle, p)
-    of = scored.select("qid", "id", "file", "score").join(small(bundle.select("qid", "file").distinct()), ["qid", "file"], "left_semi")
+    of = scored.select("qid", "id", "file", "score").join((bundle.select("qid", "file").distinct()), ["qid", "file"], "left_semi")
     noise = of.join(chosen.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", "file", "score", F.lit("noise").alias("role"))
     return chosen.unionByName(noise).withColumn("score", F.round("score", 4))
 
@@ -84,7 +86,7 @@ def chunks_for_file(scored: DataFrame, bundle: DataFrame, p: Params = DEFAULTS)
     """Every chunk with its score, whether it is selected, and its role (core, related, unranked)."""
     chosen = selection(scored, bundle, p).select("qid", "id", F.lit(True).alias("selected"))
     tier = bundle.select("qid", "file", F.when(F.col("tier") == 1, "core").otherwise("related").alias("role"))
-    out = scored.join(chosen, ["qid", "id"], "left").join(small(tier), ["qid", "file"], "left")
+    out = scored.join(chosen, ["qid", "id"], "left").join((tier), ["qid", "file"], "left")
     return out.select("qid", "id", "file", "score", F.coalesce("selected", F.lit(False)).alias("selected"), F.coalesce("role", F.lit("unranked")).alias("role"))
 
 
