@@ -48,9 +48,13 @@ SKELETON_SQL = f"""SELECT path, list(m ORDER BY k) AS skel_vec FROM (
   SELECT path, k, round(avg(x), 6) AS m FROM (SELECT {LABEL_FILE_SQL} AS path, unnest(range(1, 65)) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY path, k) GROUP BY path"""
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """The stated query set: the vectors of the first ids."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n)
+def in_query_set(vec_id: str = "vec_id"):
+    """The stated query set: every vector whose id is divisible by 20, so it grows with the table."""
+    return F.col(vec_id) % 20 == 0
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where(in_query_set())
     return e.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("qvec"))
 
 

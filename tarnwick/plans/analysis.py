@@ -52,12 +52,12 @@ def central_files(spark, sf_dir: str) -> DataFrame:
 def recall_at(spark, sf_dir: str) -> DataFrame:
     """A query's own file is its gold."""
     ranked = B.rank_files(scored(spark, sf_dir))
-    gold = A.table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("qid"), A.label_file(F.col("label")).alias("file"))
+    gold = A.table(spark, sf_dir, "embeddings").where(A.in_query_set()).select(F.col("vec_id").alias("qid"), A.label_file(F.col("label")).alias("file"))
     return E.recall_at(ranked, gold)
 
 
 def bundle_full(spark, sf_dir: str) -> DataFrame:
-    gold = A.table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("qid"), A.label_file(F.col("label")).alias("file"))
+    gold = A.table(spark, sf_dir, "embeddings").where(A.in_query_set()).select(F.col("vec_id").alias("qid"), A.label_file(F.col("label")).alias("file"))
     return E.bundle_full(bundle(spark, sf_dir), gold)
 
 
