@@ -45,7 +45,7 @@ def census(spark, sf_dir: str) -> DataFrame:
     f = A.files(spark, sf_dir)
     where = F.col("doc_id") % 5
     f = f.withColumn("path", F.when(where == 1, F.concat(F.lit("node_modules/"), "path")).when(where == 2, F.concat(F.lit("third_party/"), "path")).when(where == 3, F.regexp_replace("path", "[.]md$", ".pb.go")).otherwise(F.col("path")))
-    return C.census(C.verdict(f.withColumn("text", F.regexp_replace(F.substring("text", 1, 60), "\n", " ")), ["md", "py"], workspace=True))
+    return C.census(C.verdict(f, ["md", "py"], workspace=True))
 
 
 def content_hash(spark, sf_dir: str) -> DataFrame:

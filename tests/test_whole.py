@@ -5,10 +5,13 @@ The SQL oracles still hold the old subsets; here they are read with the whole qu
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from tarnwick.operators.corpus import GENERATED_MARKS
 from tarnwick.plans import catalogue
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
@@ -29,3 +32,33 @@ def same(spark, duck, name: str, sql: str) -> list:  # noqa: F811
 @pytest.mark.parametrize("name", SEARCHES)
 def test_searches_take_every_twentieth_vector(spark, duck, name):  # noqa: F811
     assert same(spark, duck, name, catalogue.oracle_sql()[name].replace("vec_id < 10", "vec_id % 20 = 0"))
+
+
+def whole_census(rows) -> set[tuple]:
+    """rows (doc_id, source, text) -> (by, key, files, bytes), the rules in plain Python over whole texts."""
+    marks = re.compile(GENERATED_MARKS, re.I)
+    sums: dict[tuple, list[int]] = {}
+    for doc_id, source, text in rows:
+        size, head = len(text.encode()), text[:2048]
+        breaks = head.count("\n")
+        generated = marks.search(head) or (len(head) >= 2000 and breaks <= 2) or (breaks and len(head) / (breaks + 1) > 400)
+        reason = {1: "excluded", 2: "vendored", 3: "generated"}.get(doc_id % 5) or ("generated" if generated else "too-big" if size > 600_000 else None)
+        for key in [("reason", reason)] if reason else [("ext", "md"), ("dir", source)]:
+            n = sums.setdefault(key, [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + size
+    return {(*k, *v) for k, v in sums.items()}
+
+
+def test_census_reads_whole_texts(spark, tmp_path):
+    line = "some words of a line\n"
+    awkward = [line * 9 + "Code generated by a tool", "x" * 2500 + "\n", ("y" * 500 + "\n") * 3, line * 40_000, line * 20, "é" * 70 + "\n", ""]
+    rows = [(5 * k, "src0", t) for k, t in enumerate(awkward)] + [(5 * k + k % 5, "src1", line * (k + 9)) for k in range(1, 10)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["by"], r["key"], r["files"], r["bytes"]) for r in catalogue.queries()["census"](spark, str(tmp_path)).collect()}
+    assert got == whole_census(rows)
+    assert {k for by, k, *_ in got if by == "reason"} == {"excluded", "vendored", "generated", "too-big"}
+
+
+def test_census_of_the_tables(spark, duck):  # noqa: F811
+    got = {(r["by"], r["key"], r["files"], r["bytes"]) for r in catalogue.queries()["census"](spark, SF).collect()}
+    assert got == whole_census(duck.sql("SELECT doc_id, source, text FROM documents").fetchall())
