@@ -3,7 +3,8 @@
 Base spans come from four fixed patterns with their checks and are always kept.  The
 field adds spans that the patterns miss (telephone numbers without a plus sign, written
 out addresses such as ``name (at) host (dot) org``, addresses and cards in other groupings).
-It works on tokens near digits and at-signs.  A candidate segment runs over several
+It works on tokens near digits and at-signs: whole tokens, as many as an entity and what its
+features look at can reach.  A candidate segment runs over several
 tokens and is scored as a whole, by what it contains, its shape, its borders and the word
 before it; single tokens outside are scored 0, and neighbouring segments by their types.
 An entity is at most ENTITY tokens, so the dynamic programme that chooses boundaries and
@@ -30,7 +31,7 @@ from tarnwick.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
 ENTITY = 20  # tokens
-NEAR = 40  # code points around digits and at-signs that the field sees
+REACH = ENTITY + 6  # tokens around digits and at-signs that the field sees: an entity, its borders and the words before it
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -85,7 +86,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 FEATURES = (
     "bias", "digits<8", "digits8-9", "digits10", "digits11-12", "digits13-15", "digits16", "digits17-19", "plus", "paren", "one_group", "groups2", "groups3", "groups4", "groups>4",
     "longest<=4", "longest5-8", "longest>8", "dot", "dash", "space", "slash", "luhn", "ip4", "at", "at_words", "dotted", "dot_words", "date_like", "even_groups", "open_left", "open_right",
-    "cue_tel", "cue_card", "cue_ip", "cue_mail", "cue_date", "tail2-6", "wordy", "more_left", "more_right",
+    "cue_tel", "cue_card", "cue_ip", "cue_mail", "cue_date", "tail2-6", "wordy", "more_left", "more_right", "loose", "dot_left", "dot_right",
 )
 F_AT = {f: i for i, f in enumerate(FEATURES)}
 SEPARATORS = set(" -.()/")
@@ -115,17 +116,21 @@ def candidates(tok: list[tuple[str, int, int]]) -> list[tuple[int, int, list[int
         elif kind[i] == "@" or (kind[i] in "([" and i + 2 < n and tok[i + 1][0].lower() == "at" and tok[i + 2][0] in ")]"):
             left, right = i, i + (1 if kind[i] == "@" else 3)
             words = kind[i] != "@"
-            while left and i - left < 8 and (kind[left - 1] in ("d", "w") or tok[left - 1][0] in "._%+-" or (words and left == i and tok[left - 1][0] == " ")):
+            while left and right - left < ENTITY and (kind[left - 1] in ("d", "w") or tok[left - 1][0] in "._%+-" or (words and left == i and tok[left - 1][0] == " ")):
                 left -= 1
             starts = [x for x in range(left, i) if kind[x] in ("d", "w") and (x == left or kind[x - 1] not in ("d", "w"))]
-            end, dotted, ends = right, False, []
-            while end < n and end - right < 10:
+            end, dotted, ends = right, False, []  # ends: end token, whether plain blanks part its words
+            last, loose = right, False
+            while end < n and end - i < ENTITY:
                 t = tok[end][0]
                 if kind[end] in ("d", "w"):
                     if t.lower() == "dot":
                         dotted = True
-                    elif dotted:
-                        ends.append(end + 1)
+                    else:
+                        loose = loose or (last > right and _loose(tok, last, end))
+                        last = end + 1
+                        if dotted:
+                            ends.append((end + 1, loose))
                 elif t == ".":
                     dotted = True
                 elif t in "-" or (words and t in " ()[]"):
@@ -133,9 +138,10 @@ def candidates(tok: list[tuple[str, int, int]]) -> list[tuple[int, int, list[int
                 else:
                     break
                 end += 1
-            for s in starts[-2:]:
-                for e in ends[-2:]:
-                    out.append((s, e, _address(tok, kind, s, e, words)))
+            for s in starts:
+                for e, apart in ends:
+                    if e - s <= ENTITY:
+                        out.append((s, e, _address(tok, kind, s, e, words, apart)))
     return out
 
 
@@ -178,8 +184,27 @@ def _number(tok, kind, i: int, j: int) -> list[int]:
     return [F_AT[x] for x in f]
 
 
-def _address(tok, kind, i: int, j: int, words: bool) -> list[int]:
+def _loose(tok, i: int, j: int) -> bool:
+    """Whether what is between two words of a host parts them: blanks or brackets without a written dot, other than `` . ``."""
+    between = "".join(tok[x][0] for x in range(i, j)).lower()
+    return "dot" not in between and between != " . " and any(c in between for c in " ()[]")
+
+
+def _dot_after(tok, kind, j: int) -> bool:
+    """Whether the host goes on: a dot and a word, or a written dot and a word."""
+    if j + 1 < len(tok) and tok[j][0] == "." and kind[j + 1] in ("d", "w"):
+        return True
+    x = j
+    while x < len(tok) and x - j < 3 and tok[x][0] in " ()[]":
+        x += 1
+    return x > j and x < len(tok) and tok[x][0].lower() == "dot"
+
+
+def _address(tok, kind, i: int, j: int, words: bool, loose: bool) -> list[int]:
     f = ["bias", *_borders(tok, kind, i, j), "at_words" if words else "at"]
+    f += ["loose"] if loose else []
+    f += ["dot_left"] if i >= 2 and tok[i - 1][0] in "._%+-" and kind[i - 2] in ("d", "w") else []
+    f += ["dot_right"] if _dot_after(tok, kind, j) else []
     seps = [tok[x][0].lower() for x in range(i, j)]
     f += ["dotted"] if "." in seps else []
     f += ["dot_words"] if "dot" in seps else []
@@ -291,7 +316,7 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
 
     phones = [lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(2)} {d(3)} {d(6)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]
     ips = [lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))]
-    mails = [lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{word()}{d(2)} (at) {word()} (dot) org", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()}_{d(1)}@{word()}{d(1)}.{word()}.de"]
+    mails = [lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{word()}{d(2)} (at) {word()} (dot) org", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()}_{d(1)}@{word()}{d(1)}.{word()}.de", lambda: f"{word()}.{word()}.{word()} (at) {word()}.org", lambda: f"{word()} [at] {word()}.net", lambda: f"{word()} (at) {word()} (dot) {word()} (dot) uk"]
     noise = [lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", lambda: f"1{d(1)}.0{r.randint(1, 9)}.19{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: d(r.randint(1, 9)), lambda: f"order {d(7)}", lambda: f"{d(2)}:{d(2)}", lambda: f"isbn 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(3)}.{d(3)},{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(24)), lambda: f"{r.randint(256, 999)}.{d(3)}.{d(1)}.{d(2)}", lambda: f"{d(12)}", lambda: f"{d(17)}", lambda: f"1{d(9)}", lambda: f"page@{word()}", lambda: f"{d(3)} {d(4)} {d(2)}"]
     makers = {0: mails, 1: ips, 2: [card], 3: phones}
     lead = {0: ["mail", "contact", "write"], 1: ["ip", "host", "from"], 2: ["card", "visa", "with"], 3: ["call", "tel", "phone", "at"]}
@@ -308,7 +333,7 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
                 spans.append((len(text), len(text) + len(s), y))
             else:
                 s = r.choice(noise)()
-            text += s + r.choice([" ", ". ", ", ", "\n", " " + word() + " "])
+            text += s + r.choice([" ", ". ", ", ", "\n", " " + " ".join(word() for _ in range(r.randint(1, 5))) + " "])
         out.append((text, spans))
     return out
 
@@ -337,26 +362,60 @@ def trained(n: int = 500, epochs: int = 12, seed: int = 4) -> Field:
     return field
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _before(text: str, at: int, floor: int) -> int:
+    """Where the REACH-th token before a token border begins, or floor."""
+    for _ in range(REACH):
+        if at <= floor:
+            return floor
+        at -= 1
+        same = _letter if _letter(text[at]) else "0123456789".__contains__ if text[at] in "0123456789" else None
+        while same and at > floor and same(text[at - 1]):
+            at -= 1
+    return max(at, floor)
+
+
+def _after(text: str, at: int) -> int:
+    """Where the REACH-th token after a token border ends."""
+    for _ in range(REACH):
+        if not (m := TOKEN.match(text, at)):
+            break
+        at = m.end()
+    return at
+
+
 def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """(start, end, type) of the field's segments, over all parts of the text near digits and at-signs."""
-    out, lo, hi = [], -1, -1
+    """(start, end, type) of the field's segments, over all parts of the text near digits and at-signs.
+
+    A part begins and ends at token borders.  How far one reaches is looked up only where the next
+    digit or at-sign lies beyond the part as known, so every token is passed a few times at most.
+    """
+    out: list[tuple[int, int, int]] = []
 
     def zone(lo: int, hi: int) -> None:
-        while lo and text[lo].isalnum() and text[lo - 1].isalnum() and hi - lo < 200:
-            lo -= 1
-        tok = tokens_of(text, lo, min(len(text), hi))
+        tok = tokens_of(text, lo, hi)
         for i, j, y in field.decode(len(tok), candidates(tok)):
             out.append((tok[i][1], tok[j - 1][2], y))
 
+    lo, hi, last = -1, -1, -1  # the part, and the end of its last digit or at-sign
     for m in HOT.finditer(text):
-        if hi >= 0 and m.start() - NEAR <= hi:
-            hi = m.end() + NEAR
-            continue
-        if hi >= 0:
-            zone(lo, hi)
-        lo, hi = max(0, m.start() - NEAR), m.end() + NEAR
-    if hi >= 0:
-        zone(lo, hi)
+        if m.start() >= hi:
+            if lo >= 0:
+                hi = _after(text, last)
+            if lo < 0 or m.start() >= hi:
+                start = _before(text, m.start(), max(hi, 0))
+                if lo < 0:
+                    lo = start
+                elif start > hi:
+                    zone(lo, hi)
+                    lo = start
+                hi = m.end()
+        last = m.end()
+    if lo >= 0:
+        zone(lo, _after(text, last))
     return out
 
 
