@@ -39,11 +39,10 @@ part AS (
   UNION ALL SELECT l.qid, l.file, r.score, r.best, 2, 'floor', 2000 + l.k FROM low l JOIN ranked r USING (qid, file)
     WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.qid = l.qid AND c.file = l.file) AND NOT EXISTS (SELECT 1 FROM extra x WHERE x.qid = l.qid AND x.file = l.file)),
 bundle AS (SELECT qid, file, score, best, CAST(tier AS BIGINT) AS tier, via, row_number() OVER (PARTITION BY qid ORDER BY tier, o) AS place FROM part)"""
-SMALL = S.Params(cand_files=5, graph_extras=2)  # ten files are few: a small bundle leaves work for the extras and the floor
 
 
 def bundle(spark, sf_dir: str) -> DataFrame:
-    return B.assemble(scored(spark, sf_dir), A.label_edges(spark, sf_dir), SMALL).persist()
+    return B.assemble(scored(spark, sf_dir), A.label_edges(spark, sf_dir)).persist()
 
 
 def fusion(spark, sf_dir: str) -> DataFrame:
@@ -60,17 +59,17 @@ def recall_floor(spark, sf_dir: str) -> DataFrame:
 
 def selection(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.selection(s, bundle(spark, sf_dir), SMALL)
+    return B.selection(s, bundle(spark, sf_dir))
 
 
 def prune(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.prune(s, bundle(spark, sf_dir), SMALL).groupBy("qid", "role").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"))
+    return B.prune(s, bundle(spark, sf_dir)).groupBy("qid", "role").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("top"))
 
 
 def chunks_for_file(spark, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return B.chunks_for_file(s, bundle(spark, sf_dir), SMALL).where("file = 'src/l3.py'")
+    return B.chunks_for_file(s, bundle(spark, sf_dir)).where("file = 'src/l3.py'")
 
 
 def search_multi(spark, sf_dir: str) -> DataFrame:

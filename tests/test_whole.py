@@ -5,32 +5,38 @@ The SQL oracles still hold the old subsets; here they are read with the whole qu
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.operators import bundle as bundle_operator
 from tarnwick.operators.corpus import GENERATED_MARKS
-from tarnwick.plans import catalogue
+from tarnwick.params import Params
+from tarnwick.plans import adapters, catalogue, retrieval
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 SEARCHES = "bundle fusion file_ranking recall_floor selection prune chunks_for_file search_multi path_scope variants_rrf flow_match recall_at bundle_full rerank_merge".split()
 
 
-def same(spark, duck, name: str, sql: str) -> None:  # noqa: F811
-    df = catalogue.queries()[name](spark, SF)
+def same(spark, duck, name: str, sql: str, at: str = SF) -> list[tuple]:  # noqa: F811
+    """The query's rows, columns by name, after they were found equal to the SQL's."""
+    df = catalogue.queries()[name](spark, at)
     cols = sorted(df.columns)
     rows = [tuple(r[c] for c in cols) for r in df.collect()]
     spark.catalog.clearCache()
     want = duck.sql(sql)
     assert plain(rows) == plain(want.project(", ".join(f'"{c}"' for c in cols)).fetchall())
+    return rows
 
 
 @pytest.mark.parametrize("name", SEARCHES)
 def test_searches_take_every_twentieth_vector(spark, duck, name):  # noqa: F811
-    same(spark, duck, name, catalogue.oracle_sql()[name].replace("vec_id < 10", "vec_id % 20 = 0"))
+    same(spark, duck, name, production(catalogue.oracle_sql()[name]))
 
 
 def whole_census(rows) -> set[tuple]:
@@ -66,3 +72,39 @@ def test_census_of_the_tables(spark, duck):  # noqa: F811
 @pytest.mark.parametrize("name, cut", [("bm25", "WHERE item_id < 5"), ("lexical_boost", "WHERE p_partkey <= 3"), ("reached_from", "WHERE p_size < 10"), ("flow_cache", "WHERE id < 5")])
 def test_every_item_part_and_flow(spark, duck, name, cut):  # noqa: F811
     same(spark, duck, name, catalogue.oracle_sql()[name].replace(cut, ""))
+
+
+def production(sql: str) -> str:
+    """The SQL with the default 12 candidates and 7 extras in the place of 5 and 2, and the whole query set."""
+    return sql.replace("vec_id < 10", "vec_id % 20 = 0").replace("WHERE rank <= 5)", "WHERE rank <= 12)").replace("r WHERE rank > 5 AND", "r WHERE rank > 12 AND").replace("WHERE k <= 2),", "WHERE k <= 7),")
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder with vectors of 60 files, and its SQL connection."""
+    import duckdb
+
+    r, at = random.Random(2), str(tmp_path_factory.mktemp("many"))
+    rows = [(k, [r.gauss(0, 1) / 8 for _ in range(64)], k % 60) for k in range(180)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet/*.parquet'")
+    return at, con
+
+
+@pytest.mark.parametrize("name", ["bundle", "selection", "prune", "chunks_for_file", "search_multi", "bundle_full"])
+def test_bundles_by_the_default_knobs(spark, many, name):
+    at, con = many
+    rows = same(spark, con, name, production(catalogue.oracle_sql()[name]), at)
+    if name == "bundle":
+        ranks, extras = (Counter(r[3] for r in rows if r[6] == via) for via in ("rank", "graph"))
+        assert set(ranks.values()) == {12} and max(extras.values()) > 2
+
+
+def test_small_caps(spark, many):
+    at, con = many
+    df = bundle_operator.assemble(retrieval.scored(spark, at), adapters.label_edges(spark, at), Params(cand_files=5, graph_extras=2))
+    cols = sorted(df.columns)
+    want = con.sql(catalogue.oracle_sql()["bundle"].replace("vec_id < 10", "vec_id % 20 = 0"))
+    assert plain(tuple(r[c] for c in cols) for r in df.collect()) == plain(want.project(", ".join(cols)).fetchall())
+    spark.catalog.clearCache()
