@@ -33,11 +33,46 @@ def partition_check(spark, sf_dir: str) -> DataFrame:
     return C.partition_violations(C.pack_lines(f, BUDGET), f)
 
 
+BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|header|hr|html|li|main|nav|ol|p|section|table|td|th|tr|ul"
+SPACE = r"[\s\x1C-\x1E\x{0085}\x{00A0}\x{2028}\x{2029}]+"
+
+
+def plain_html(html):
+    """Without tags, common entities read; blocks begin on a new line."""
+    t = F.regexp_replace(F.regexp_replace(html, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), "</?[A-Za-z!][^>]*>", "")
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(c))
+    return t
+
+
+def markdown(html):
+    """A whole page as markdown lines: h1 to h6 as headings, pre as fences, its other text as it is.
+
+    Marks stand for the tags until the text is plain, so that a text's own number signs and fences
+    can be told from them and escaped.
+    """
+    t = F.regexp_replace(html, "[\x01-\x03]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", ""), r"(?is)<(script|style|head|template)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<h([1-6])\b[^>]*>", "\x01$1"), r"(?i)</h[1-6]\s*>", "\x02")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<pre\b[^>]*>", "\n\x03\n"), r"(?i)</pre\s*>", "\n\x03\n")
+    body = lambda x: F.replace(F.regexp_replace(F.replace(plain_html(x), F.lit("\x02"), F.lit("\n")), r"(?m)^(\s*)(#|```|~~~)", r"$1\\$2"), F.lit("\x03"), F.lit("```"))
+
+    def section(x):
+        own = F.substring_index(x, "\x02", 1)
+        title = F.trim(F.regexp_replace(plain_html(F.substring(own, 2, 1 << 30)), SPACE, " "))
+        marks = F.repeat(F.lit("#"), F.substring(x, 1, 1).cast("int"))
+        head = F.when(title != "", F.concat_ws(" ", marks, title, marks)).otherwise("")  # closed, so that a title's own last number signs stay
+        return F.concat(F.lit("\n"), head, F.lit("\n"), body(F.substring(x, F.length(own) + 2, 1 << 30)))
+
+    parts = F.split(t, "\x01", -1)
+    return F.concat(body(parts[0]), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), section), ""))
+
+
 def headings(spark, sf_dir: str) -> DataFrame:
-    """Sections of pages: their titles as markdown headings."""
-    p = A.table(spark, sf_dir, "pages")
-    md = p.select(F.col("url").alias("path"), F.concat(F.lit("# "), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("\n\n## body\ntext\n```\n# no heading\n```\n### deep\n")).alias("text"))
-    return C.heading_scan(md).select("path", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "crumb")
+    """Sections of pages: the headings of each whole page, at their lines as markdown."""
+    own = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url")  # pages may share an address
+    md = A.table(spark, sf_dir, "pages").select(own.alias("path"), markdown(F.col("html")).alias("text"))
+    return C.heading_scan(md).select(F.regexp_replace("path", "^-?[0-9]* ", "").alias("path"), F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "crumb")
 
 
 def census(spark, sf_dir: str) -> DataFrame:
