@@ -73,12 +73,17 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=64)
 def projections(d: int, seed: int = 8) -> np.ndarray:
-    """TABLES matrices of d columns and BLOCKS * 8 rows, orthonormal where d allows it, scaled to lattice units."""
+    """TABLES matrices of d columns and BLOCKS * 8 rows, scaled to lattice units.
+
+    Rows are orthonormal, with fewer dimensions than rows the columns; either way a pair lies on
+    average as near in each block as at 64 dimensions.
+    """
     r = np.random.default_rng([seed, d])
     out = []
     for _ in range(TABLES):
         g = r.standard_normal((d, 8 * BLOCKS))
-        out.append((np.linalg.qr(g)[0] if d >= 8 * BLOCKS else g / np.sqrt(8 * BLOCKS)).T / (WIDTH * (np.sqrt(64 / d) if d >= 8 * BLOCKS else 1)))
+        q = np.linalg.qr(g)[0].T if d >= 8 * BLOCKS else np.linalg.qr(g.T)[0]
+        out.append(q / (WIDTH * np.sqrt(64 / max(d, 8 * BLOCKS))))
     return np.stack(out)
 
 
