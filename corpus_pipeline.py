@@ -39,7 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
 
     def work(df: DataFrame) -> DataFrame:
-        return decontaminate.matches(df, benchmark).where(~decontaminate.contaminated(decontaminate.hits(F.col("spans")), F.col("n_words")))
+        found = decontaminate.matches(df, benchmark)
+        return found.where(~decontaminate.leaked(F.col("spans"), F.col("n_words")))
 
     return carried(docs, work)
 

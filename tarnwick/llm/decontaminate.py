@@ -175,6 +175,11 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def leaked(spans: Column, n_words: Column) -> Column:
+    """Whether a whole window of WINDOW words occurs, in a text of any length, or shorter items make up a twentieth of it."""
+    return F.exists(spans, lambda s: s["end"] - s["start"] >= WINDOW) | contaminated(hits(spans), n_words)
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), keep_text=False).withColumn("n_hit", hits(F.col("spans")))
