@@ -55,6 +55,7 @@ ENUMERATED = 60  # largest difference up to which subsets of parts are enumerate
 ELEMENTS = 2.5  # behind a signature, at least, where a scheme allows it
 CACHE = 150_000
 BLOCK = 2048
+BOUNDED = 8192  # pairs put to the bound at once
 SALT = 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -239,7 +240,7 @@ def buckets(docs: DataFrame) -> DataFrame:
 
 def bounded(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether sets with these cells and sizes can be similar; never wrongly False."""
-    apart = np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(axis=-1)
+    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
     return (DEN + NUM) * apart <= (DEN - NUM) * (na + nb)
 
 
@@ -293,10 +294,9 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
 
 
-def _crossed(ids: np.ndarray, part: np.ndarray, n: np.ndarray, cells: np.ndarray, own: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block with another (or with itself) that lie in different parts and pass the bound."""
+def _crossed(ids: np.ndarray, part: np.ndarray, n: np.ndarray, cells: np.ndarray, own: np.ndarray, x: int, y: int) -> Iterator[np.ndarray]:
+    """Pairs of one block with another (or with itself) that lie in different parts and pass the bound, in pieces of at most BOUNDED."""
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-    out: list[np.ndarray] = []
     step = max(1, 200_000 // max(len(right), 1))
     for at in range(0, len(left), step):
         i, j = (v.ravel() for v in np.meshgrid(left[at : at + step], right, indexing="ij"))
@@ -304,10 +304,10 @@ def _crossed(ids: np.ndarray, part: np.ndarray, n: np.ndarray, cells: np.ndarray
         if x == y:
             ok &= i < j
         i, j = i[ok], j[ok]
-        ok = bounded(cells[i], cells[j], n[i], n[j])
-        out.append(np.stack([ids[i[ok]], ids[j[ok]]]))
-    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-    return both.min(axis=0), both.max(axis=0)
+        for lo in range(0, len(i), BOUNDED):  # the cells of a pair take CELLS numbers
+            a, b = i[lo : lo + BOUNDED], j[lo : lo + BOUNDED]
+            near = bounded(cells[a], cells[b], n[a], n[b])
+            yield np.sort(np.stack([ids[a[near]], ids[b[near]]]), axis=0)
 
 
 def across(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -321,9 +321,10 @@ def across(members: DataFrame, known: DataFrame) -> DataFrame:
         for rows, at in whole_groups(it, ("head", "x", "y")):
             ids, part, n, own, x, y = (rows.column(c).to_numpy() for c in ("id", "part", "n", "own", "x", "y"))
             cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
-            out = [_crossed(ids[s:e], part[s:e], n[s:e], cells[s:e], own[s:e], x[s], y[s]) for s, e in zip(at[:-1], at[1:])]
-            pairs = np.unique(np.concatenate([np.stack(p) for p in out], axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], ["a", "b"])
+            for s, e in zip(at[:-1], at[1:]):
+                for pairs in _crossed(ids[s:e], part[s:e], n[s:e], cells[s:e], own[s:e], x[s], y[s]):
+                    if pairs.shape[1]:
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], ["a", "b"])
 
     return dealt.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
