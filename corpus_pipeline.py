@@ -36,13 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those whose text leaks a part of the benchmark, whatever its share of the text."""
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
-
-    def work(df: DataFrame) -> DataFrame:
-        found = decontaminate.matches(df, benchmark)
-        return found.where(~decontaminate.leaked(F.col("spans"), F.col("n_words")))
-
-    return carried(docs, work)
+    return carried(docs, lambda df: decontaminate.decontaminated(df, benchmark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast as a filter, after they were counted (8 bytes each).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
+#: Rows of a stored table that are worth a task and a file of their own.
+FILE_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,15 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwick-"))  # local runs only: no cluster folder is named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwick-"))  # one machine, so its temporary folder is shared
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tarnwick-{uuid.uuid4().hex}"
+_written: list[str] = []
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Where df is known to have at most so many rows, it is written by no more tasks than FILE_ROWS
+    asks for (and as many as run at once), so that a small table isn't hundreds of small files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tarnwick-{uuid.uuid4().hex}"
+    _written.append(path)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete every table that stored() wrote in this process.  Only once results that read them are written."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def forget(*frames: DataFrame) -> None:
@@ -45,8 +71,7 @@ def forget(*frames: DataFrame) -> None:
         spark = df.sparkSession
         for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
             if "/tarnwick-" in path:
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -106,16 +131,16 @@ def smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         own = new
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components of undirected links: rows (id, component) with the smallest id that links reach.
 
     Each task first contracts its share of the links to stars.  If there was one share, that is the
     result.  Otherwise large-star and small-star steps alternate with contraction (Kiveris et
     al., 2014): grouped minima and joins over links only, written to the shared folder after each
     round, so that nothing is collected and a lost executor costs one round.  Ids without a link are not
-    returned.
+    returned.  rows bounds the number of links where the caller knows it.
     """
-    links = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
+    links = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"), rows)
     n = links.count()
     before = None
     while True:
@@ -130,7 +155,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stored(small)
+        new = stored(small, 2 * n)
         mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         forget(links)
         links, n = new, mark["n"]

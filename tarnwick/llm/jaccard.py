@@ -51,7 +51,6 @@ SHINGLE = 5
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
 CELLS = 256
 RATIO = 1.5  # of a band's bounds
-ENUMERATED = 60  # largest difference up to which subsets of parts are enumerated in any case; beyond, one-part signatures may be cheaper
 ELEMENTS = 2.5  # behind a signature, at least, where a scheme allows it
 CACHE = 150_000
 BLOCK = 2048
@@ -135,8 +134,8 @@ class Scheme:
         most = high - 1
         k = (most + most * DEN // NUM) * (DEN - NUM) // (DEN + NUM)  # the larger set may lie in the next band
         best = None
-        for k2 in range(1 if 0 < k <= ENUMERATED else 0, min(k, 4) + 1):
-            for n2 in range(k2 + 1, k2 + 4 if k2 else 2):
+        for k2 in range(1 if k else 0, min(k, 4) + 1):
+            for n2 in range(k2 + 2 if k > 1 else k2 + 1, k2 + 4 if k2 else 2):  # a signature spans two second-level parts at least
                 for slack in range(0, k + 2):
                     n1 = k // (k2 + 1) + 1 + slack
                     q = (1 - 1 / (n1 * n2)) ** low
@@ -155,13 +154,13 @@ class Scheme:
         self.subsets = np.zeros((self.n2, len(subsets)), dtype=np.uint64)
         for c, s in enumerate(subsets):
             self.subsets[list(s), c] = 1
+        cells = self.n1 * self.n2
+        self.cut = (np.arange(1, cells, dtype=np.uint64) << np.uint64(32)) // np.uint64(cells)
         self.salt = mix(np.arange(self.n1 * len(subsets), dtype=np.uint64) * ODD + np.uint64(low)).reshape(self.n1, -1)
 
     def signatures(self, h: np.ndarray, total: np.ndarray) -> np.ndarray:
         """h: sorted hashes; total: their mixed values summed up from 0."""
-        cells = self.n1 * self.n2
-        cut = (np.arange(1, cells, dtype=np.uint64) << np.uint64(32)) // np.uint64(cells)
-        at = np.concatenate([[0], np.searchsorted(h >> np.uint64(32), cut, side="left"), [len(h)]])
+        at = np.concatenate([[0], np.searchsorted(h >> np.uint64(32), self.cut, side="left"), [len(h)]])
         sums = (total[at[1:]] - total[at[:-1]]).reshape(self.n1, self.n2)
         count = np.diff(at).astype(np.uint64).reshape(self.n1, self.n2)
         held = count @ self.subsets
@@ -258,11 +257,12 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return near.where(passes("ca", "cb", "na", "nb")).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose exact sets are similar.  A hot a is dealt to several tasks, with its text."""
-    pairs = stored(pairs)
+def verified(pairs: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (a, b), at most so many where that is known, whose exact sets are similar.  A hot a is dealt to several tasks, with its text."""
+    pairs = stored(pairs, most)
+    n = pairs.count()
     own = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = only_in(docs, stored(own), "id")
+    texts = only_in(docs, stored(own, 2 * n), "id")
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return stored(sized(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long"))
+    return stored(sized(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long"), n)
 
 
 def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -332,27 +332,30 @@ def across(members: DataFrame, known: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per row (id, n), and the components (id, component) of ids that have a link."""
     known = stored(described(docs, id_col, text_col))
+    n = known.count()
     sets = known.where("id is not null and n > 0")
-    equal = stored(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("c")))
-    copies = stored(sets.join(equal.where("z > a"), ["s1", "s2", "n"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    equal = stored(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("c")).where("z > a"), n)
+    copies = stored(sets.join(equal, ["s1", "s2", "n"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), n)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     firsts = own.where(F.length("text") > 0)
     kept = sets.dropDuplicates(["id"]).select("id", "n", "cells")
     met = stored(buckets(only_in(firsts, copies.select(F.col("b").alias("id")).distinct(), "id", "left_anti")))
-    links = verified(possible(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), kept), own)
-    parts = stored(components(links))
-    open_ = stored(apart(met.select("a", "b").distinct(), parts))
+    links = verified(possible(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), kept), own, n)
+    parts = stored(components(links, rows=n), n)
+    between = apart(met.select("a", "b").distinct(), parts).distinct()
+    open_ = stored(between)
     if not open_.isEmpty():
-        links = links.union(verified(possible(open_, kept), own))
-        parts = stored(components(links))
-        still = stored(apart(open_, parts))
+        links = links.union(verified(possible(open_, kept), own, open_.count()))
+        parts = stored(components(links, rows=links.count()), n)
+        still = stored(apart(open_, parts), open_.count())
         if not still.isEmpty():
             sigs = met.join(F.broadcast(still) if few(still) else still, ["a", "b"], "left_semi").select("sig").distinct()
             rows = met.join(sigs, "sig", "left_semi").select(F.col("a").alias("head"), F.col("b").alias("id")).distinct()
             rows = rows.union(rows.select("head", F.col("head").alias("id")).distinct())
             rows = rows.join(parts, "id", "left").select("head", "id", F.coalesce("component", "id").alias("part"))
             links = links.union(verified(across(rows, kept), own))
-    return known, stored(components(links.union(copies)))
+    every = links.union(copies)
+    return known, stored(components(every, rows=every.count()), n)
 
 
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,17 +366,25 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id; rows with null ids stay."""
+    """docs with one document of each component, that of the smallest id; rows with null ids stay.
+
+    Of rows with equal id and text one stays, that of the smallest hash of all its columns; rows of one id
+    with different texts are all kept or all dropped.
+    """
     known, parts = joined(docs, id_col, text_col)
-    gone = stored(parts.where("id <> component").select(F.col("id").alias(id_col)).distinct())
+    gone = stored(parts.where("id <> component").select(F.col("id").alias(id_col)).distinct(), known.count())
     out = only_in(docs, gone, id_col, "left_anti")
-    twice = known.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_tw_id"))
+    twice = known.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
     if twice.isEmpty():
         return out
-    return out.where(F.col(id_col).isNull()).union(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    twice = stored(twice)
+    again = only_in(out, twice, id_col).withColumn("_tw_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_tw_text", F.md5(F.coalesce(text_col, F.lit(""))))
+    one = again.groupBy(F.col(id_col).alias("_tw_id"), "_tw_text", F.col(text_col).isNull()).agg(F.min_by("_tw_row", F.xxhash64("_tw_row")).alias("_tw_row"))
+    return out.where(F.col(id_col).isNull()).union(only_in(out.where(F.col(id_col).isNotNull()), twice, id_col, "left_anti")).union(one.select("_tw_row.*"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of clustered() over all documents."""
     return clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
