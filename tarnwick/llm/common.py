@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows of a stored table that are worth a task and a file of their own.
 FILE_ROWS = 100_000
+#: Rows up to which a table is dealt again for that.
+FEW_ROWS = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,14 +44,14 @@ _written: list[str] = []
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Where df is known to have at most so many rows, it is written by no more tasks than FILE_ROWS
-    asks for (and as many as run at once), so that a small table isn't hundreds of small files.
+    Where df is known to have at most so many rows, and they are few, they are dealt to no more tasks than
+    FILE_ROWS asks for (and as many as run at once), so that a small table isn't hundreds of small files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnwick-{uuid.uuid4().hex}"
     _written.append(path)
-    if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
