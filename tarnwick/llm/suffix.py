@@ -23,7 +23,8 @@ by anchors first:
 All keys are hashes of 64 bits (128 for whole texts and for step 3's large groups).
 Null texts count as empty, and a null id comes before all others.  Rows with one id are one
 document by order of start, repeated rows get equal results.  Texts under LENGTH bytes are
-kept whole.  An empty table gives an empty result.
+kept whole; very long texts are worked on whole, in pieces.  An empty table gives an empty result.
+Only id and text are read, so extra columns of any name clash with nothing.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
 GROUP = 16384
 BATCH = 3000
+COMBINE = 300_000  # anchors of a task whose equal contexts are combined before the shuffle
 STEP = 1 << 21
 LOW = -(2**63)
 U = np.uint64
@@ -109,19 +111,41 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """docs (id, text) -> rows (h, c, id, p, r): anchor hash, context hash, place, bytes to the right in the context."""
+    """docs (id, text) -> rows (h, c, id, p, r): anchor hash, context hash, place, bytes to the right in the context.
+
+    A task combines what it has: of the occurrences of one context among its last COMBINE anchors only
+    the first goes on; the others are surely repeats, marked by a negative r and dealt out evenly (by a
+    hash of their place as h), so that a common passage sends a few rows a task to its anchor.
+    """
+
+    def combined(held: list[tuple]) -> pa.RecordBatch:
+        h, c, i, p, r = (np.concatenate(x) for x in zip(*held))
+        key = h * M1 + c
+        order = np.argsort(key, kind="stable")
+        same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+        twin = order[same | np.append(same[1:], False)]  # only contexts that come more than once
+        twin = twin[np.lexsort((p[twin], i[twin], key[twin]))]
+        head = twin[np.maximum.accumulate(np.where(np.concatenate([[True], key[twin][1:] != key[twin][:-1]]), np.arange(len(twin)), 0))] if len(twin) else twin
+        again = (i[twin] == i[head]) & (p[twin] == p[head])  # the first itself, and repeated rows of one document
+        rest, keep = twin[~again], np.ones(len(h), dtype=bool)
+        keep[twin[again & (twin != head)]] = False
+        h[rest] = (i[rest].view(U) ^ (p[rest].astype(U) * M3)) * M2
+        r[rest] = -r[rest]
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h.view(np.int64), c.view(np.int64), i, p.astype(np.int32), r.astype(np.int32))], ["h", "c", "id", "p", "r"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in it:
             for part, texts in pieces(batch, "text"):
-                ids, out = part.column("id").to_pylist(), []
-                for i, t in zip(ids, texts):
+                for i, t in zip(part.column("id").to_pylist(), texts):
                     if len(t) >= LENGTH:
                         p, h, c = anchors(np.frombuffer(t, dtype=np.uint8))
-                        out.append((h.view(np.int64), c.view(np.int64), np.full(len(p), i, dtype=np.int64), p, np.minimum(LENGTH, len(t) - p)))
-                if out:
-                    h, c, i, p, r = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(i), pa.array(p.astype(np.int32)), pa.array(r.astype(np.int32))], ["h", "c", "id", "p", "r"])
+                        held.append((h, c, np.full(len(p), i, dtype=np.int64), p, np.minimum(LENGTH, len(t) - p)))
+                if sum(len(x[0]) for x in held) > COMBINE:
+                    yield combined(held)
+                    held = []
+        if held:
+            yield combined(held)
 
     return sized(docs).mapInArrow(run, "h long, c long, id long, p int, r int")
 
@@ -139,6 +163,13 @@ def sorted_out(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, c, i, p, r = (batch.column(k).to_numpy() for k in ("h", "c", "id", "p", "r"))
+            known = r < 0
+            if known.any():  # repeats that a task had found
+                lo = p[known] - np.minimum(LEFT, p[known])
+                yield pa.RecordBatch.from_arrays([pa.array(i[known]), pa.array(lo.astype(np.int32)), pa.array((p[known] - r[known]).astype(np.int32)), pa.nulls(known.sum(), pa.int64())], ["id", "s", "e", "h"])
+                h, c, i, p, r = (x[~known] for x in (h, c, i, p, r))
+                if not len(h):
+                    continue
             if held is not None:  # goes on in front
                 h, c, i, p, r = (np.concatenate([[x], y]) for x, y in zip(held[:5], (h, c, i, p, r)))
             n = len(h)
@@ -382,6 +413,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
+    """The contract's digest columns of removed() over all documents."""
     return removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
