@@ -27,11 +27,13 @@ def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFram
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those the classifier rejects; equal texts share their fate, empty and null ones stay."""
     net = toxicity.model_of(spark, sf_dir)
     return carried(docs, lambda df: toxicity.scored(df, net).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates; rows without id or words stay."""
     return carried(docs, jaccard.deduplicated)
 
 
@@ -42,12 +44,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row of docs 0, 1 or 2 times, so that sources come near their targets; rows without words may go or stay."""
     return carried(docs, mixing.mix)
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of docs with size, text_crc32, law, shard, slot and grown_shard."""
-    return sharding.shard(docs)
+    """The columns of docs with size, text_crc32, law, shard, slot and grown_shard; a column of docs with one of these names is carried as in_ and its name."""
+    return sharding.shard(docs, kept="in_")
 
 
 STAGES = [

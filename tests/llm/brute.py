@@ -128,14 +128,28 @@ def shards(rows: list[tuple], n: int = 40, keep: int = 20) -> Counter:
     """(doc_id, size, shard, slot) of the law in tarnwick.llm.sharding."""
     key = lambda t: int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
     own = sorted((key(r[1]), -(2**63) if r[0] is None else r[0], len((r[1] or "").encode()) + 16) for r in rows)
-    total, group, at, out, slots = sum(x[2] for x in own), Counter(), 0, Counter(), Counter()
+    total, group = sum(x[2] for x in own), Counter()
     for h, _, s in own:
         group[h] += s
-    start: dict = {}
+    home, held = {}, [0] * n
+    for h, s in sorted(group.items(), key=lambda x: (-x[1], x[0])):
+        at = held.index(min(held))
+        if s > total // (n * keep) and (held[at] + s) * n <= total:
+            home[h] = at
+            held[at] += s
+    out, slots = Counter(), Counter()
     for h, i, s in own:
+        if h in home:
+            out[i, s, home[h], slots[home[h]]] += 1
+            slots[home[h]] += 1
+    at, start = 0, {}
+    ends = [2 * (j * total - n * sum(held[:j])) for j in range(1, n)]
+    for h, i, s in own:
+        if h in home:
+            continue
         start.setdefault(h, at)
         mid = 2 * start[h] + group[h] if group[h] <= total // (n * keep) else 2 * at + s
-        shard = min(n - 1, mid * n // (2 * total))
+        shard = sum(e <= mid * n for e in ends)
         out[i, s, shard, slots[shard]] += 1
         slots[shard] += 1
         at += s
