@@ -14,8 +14,11 @@ documents each, so a source of any share of the rows is dealt to many tasks, and
 agree whatever the partitions.
 
 Null texts and texts without words have size 0 and take 0 words; a null source is a
-source of its own, ordered last.  Rows that agree in source, id and size are one unit of
-their joint size and are taken alike.  An empty table gives an empty result.
+source of its own, ordered last.  Every row is a unit of its own, named by source, id, size, a hash
+of its text and its number among rows that agree in all of these, so null or repeated ids cost no
+precision; which of such equal rows gets which number doesn't matter.  Ties are in that order.
+Very long texts are counted whole.  An empty table gives an empty result.  mix() carries extra columns
+along, whatever their names but for those that begin with _tw_.
 """
 
 from __future__ import annotations
@@ -62,8 +65,8 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def _round_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pivotal rounding of one group; at most one row keeps a fraction strictly between 0 and 1, none in a source's last group."""
-    pdf = pdf.sort_values(["_tw_u", "_tw_id", "_tw_size"], kind="stable")
-    p, size, u = pdf["_tw_p"].to_numpy(float).copy(), (pdf["_tw_size"] * pdf["_tw_rows"]).to_numpy(float), pdf["_tw_u"].to_numpy(float)
+    pdf = pdf.sort_values(["_tw_u", "_tw_id", "_tw_size", "_tw_hash", "_tw_no"], kind="stable")
+    p, size, u = pdf["_tw_p"].to_numpy(float).copy(), pdf["_tw_size"].to_numpy(float), pdf["_tw_u"].to_numpy(float)
     last = pdf["_tw_width"].iloc[0] == 1
     held = -1
     for j in range(len(p)):
@@ -100,9 +103,9 @@ def rounded(units: DataFrame) -> DataFrame:
     id_ = F.coalesce(F.col("_tw_id"), F.lit(-(2**63)))
     rows = units.withColumns({
         "_tw_base": F.floor(ratio).cast("int"), "_tw_p": ratio - F.floor(ratio),
-        "_tw_u": (F.pmod(F.xxhash64(id_, "_tw_size", F.lit(SEED)), F.lit(2**52)) + 0.5) / float(2**52),
+        "_tw_u": (F.pmod(F.xxhash64(id_, "_tw_size", "_tw_hash", "_tw_no", F.lit(SEED)), F.lit(2**52)) + 0.5) / float(2**52),
         "_tw_width": F.ceil(F.col("_tw_source_rows") / GROUP).cast("long"),
-    }).withColumn("_tw_bucket", F.pmod(F.xxhash64(id_, "_tw_size", F.lit(SEED + 1)), F.col("_tw_width")))
+    }).withColumn("_tw_bucket", F.pmod(F.xxhash64(id_, "_tw_size", "_tw_hash", "_tw_no", F.lit(SEED + 1)), F.col("_tw_width")))
     schema, open_ = rows.schema, (F.col("_tw_p") > 0) & (F.col("_tw_p") < 1)
     width = units.agg(F.max("_tw_source_rows")).first()[0] or 1
     width = -(-width // GROUP)
@@ -120,28 +123,50 @@ def rounded(units: DataFrame) -> DataFrame:
     return out.withColumn("_tw_copies", F.col("_tw_base") + F.col("_tw_p").cast("int")).drop("_tw_base", "_tw_p", "_tw_u", "_tw_width", "_tw_bucket")
 
 
+KEY = ["_tw_source", "_tw_id", "_tw_size", "_tw_hash"]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    return {"_tw_source": F.col(source_col), "_tw_id": F.col(id_col).cast("long"), "_tw_size": n_words(F.col(text_col)), "_tw_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+
+
 def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each distinct (_tw_source, _tw_id, _tw_size): _tw_rows of them, _tw_source_size, _tw_target, _tw_copies."""
-    units = docs.select(F.col(source_col).alias("_tw_source"), F.col(id_col).cast("long").alias("_tw_id"), n_words(F.col(text_col)).alias("_tw_size"))
-    units = stored(units.groupBy("_tw_source", "_tw_id", "_tw_size").agg(F.count("*").alias("_tw_rows")))
-    sources = stored(targets(units.groupBy(F.col("_tw_source").alias("source")).agg(F.sum(F.col("_tw_size") * F.col("_tw_rows")).alias("source_size"), F.count("*").alias("rows"))))
+    """A row for each row of docs: KEY, _tw_no (1, 2, ... among equal ones), _tw_rows of them, _tw_source_size, _tw_target, _tw_copies."""
+    keys = stored(docs.select(*[c.alias(k) for k, c in _named(docs, id_col, text_col, source_col).items()]).groupBy(*KEY).agg(F.count("*").alias("_tw_rows")))
+    sources = stored(targets(keys.groupBy(F.col("_tw_source").alias("source")).agg(F.sum(F.col("_tw_size") * F.col("_tw_rows")).alias("source_size"), F.sum("_tw_rows").alias("rows"))), 1)
     sources = sources.select(F.col("source").alias("_tw_s"), F.col("source_size").alias("_tw_source_size"), F.col("rows").alias("_tw_source_rows"), F.col("target").alias("_tw_target"))
+    step = 10_000  # numbers of a large group of equal rows are made in two steps, never in one list
+    last = F.least(F.col("_tw_from") + step - 1, F.col("_tw_rows"))
+    units = keys.withColumn("_tw_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_rows"), F.lit(step).cast("long")))).withColumn("_tw_no", F.explode(F.sequence(F.col("_tw_from"), last))).drop("_tw_from")
     return rounded(units.join(F.broadcast(sources) if few(sources, 100_000) else sources, F.col("_tw_source").eqNullSafe(F.col("_tw_s"))).drop("_tw_s"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, with the columns of docs."""
-    taken = decided(docs, id_col, text_col, source_col).where("_tw_copies > 0")
-    taken = taken.select(F.col("_tw_source").alias("_tw_s"), F.col("_tw_id").alias("_tw_i"), F.col("_tw_size").alias("_tw_n"), "_tw_copies")
-    here = docs.withColumn("_tw_size", n_words(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_tw_i")) & (F.col("_tw_size") == F.col("_tw_n")) & F.col(source_col).eqNullSafe(F.col("_tw_s"))
-    return here.join(taken, same).withColumn("_tw_each", F.explode(F.array_repeat(F.lit(1), F.col("_tw_copies")))).select(*docs.columns)
+    made = decided(docs, id_col, text_col, source_col)
+    here = docs.withColumns(_named(docs, id_col, text_col, source_col))
+    other = [F.col(k).alias(f"{k}_") for k in KEY]
+    same = lambda keys: [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    times = F.explode(F.array_repeat(F.lit(1), F.col("_tw_copies")))
+    single = made.where("_tw_rows = 1 and _tw_copies > 0").select(*other, "_tw_copies")
+    out = here.join(single, same(KEY)).withColumn("_tw_each", times).select(*docs.columns)
+    twice = made.where("_tw_rows > 1")
+    if twice.isEmpty():
+        return out
+    keys = stored(twice.select(*other).distinct())
+    own = stored(here.join(keys, same(KEY), "left_semi").withColumn("_tw_part", F.spark_partition_id()))  # stored, so that a row keeps its part
+    parts = own.groupBy(*KEY, "_tw_part").agg(F.count("*").alias("_tw_n"))
+    before = parts.withColumn("_tw_before", F.sum("_tw_n").over(Window.partitionBy(*KEY).orderBy("_tw_part")) - F.col("_tw_n")).drop("_tw_n").withColumnsRenamed({k: f"{k}_" for k in [*KEY, "_tw_part"]})
+    number = F.row_number().over(Window.partitionBy(*KEY, "_tw_part").orderBy(F.lit(1)))
+    numbered = own.withColumn("_tw_rn", number).join(before, same([*KEY, "_tw_part"])).withColumn("_tw_no", F.col("_tw_before") + F.col("_tw_rn")).drop("_tw_before", "_tw_rn", "_tw_part_", *[f"{k}_" for k in KEY])
+    taken = twice.where("_tw_copies > 0").select(*other, F.col("_tw_no").alias("_tw_no_"), "_tw_copies")
+    return out.union(numbered.join(taken, same([*KEY, "_tw_no"])).withColumn("_tw_each", times).select(*docs.columns))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of decided() over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    each = F.explode(F.array_repeat(F.lit(1), F.col("_tw_rows").cast("int")))
-    return decided(docs).withColumn("_tw_each", each).select(
+    return decided(docs).select(
         F.col("_tw_id").alias("doc_id"), F.col("_tw_size").alias("size"), F.col("_tw_source_size").alias("source_size"),
         F.col("_tw_target").alias("target"), (F.col("_tw_copies") * F.col("_tw_size")).alias("taken"),
     )

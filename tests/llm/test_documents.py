@@ -49,20 +49,58 @@ def test_sharding_splits_a_hot_text(spark):
     assert cuts.hot
 
 
+def test_groups_up_to_a_shard_stay_whole(spark):
+    """Groups of a tenth of a shard to a whole one, and one over a shard, which alone is cut; all shards as large as the others."""
+    r = random.Random(11)
+    rows = [(k, brute.prose(r, 30)) for k in range(4000)]
+    for g, share in enumerate((0.1, 0.3, 0.5, 0.7, 0.95, 1.6)):
+        text = brute.prose(r, 30)
+        rows += [(10_000 * (g + 1) + k, text) for k in range(int(share * 4000 / 36))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "size", "shard", "slot").collect()
+    assert Counter((x["doc_id"], x["size"], x["shard"], x["slot"]) for x in got) == brute.shards(rows)
+    at = [{x["shard"] for x in got if x["doc_id"] // 10_000 == g + 1} for g in range(6)]
+    assert [len(x) for x in at[:5]] == [1] * 5 and len(at[5]) > 1
+    sizes = Counter()
+    for x in got:
+        sizes[x["shard"]] += x["size"]
+    mean = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and all(abs(x - mean) <= mean / 20 for x in sizes.values())
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 7, "x"), (2, "b", 8, "y")], "doc_id long, text string, size int, Law string")
+    assert {(r["in_size"], r["in_Law"], r["size"], r["law"]) for r in sharding.shard(df, kept="in_").collect()} == {(7, "x", 17, "bytes"), (8, "y", 17, "bytes")}
+
+
+def test_mixing_of_rows_without_id(spark):
+    """Null ids and equal rows: each source still comes within a document of its target, and mix() takes what is decided."""
+    r = random.Random(12)
+    rows = [(None if k % 2 else k, "w " * 10 if k % 3 else brute.prose(r, 10), r.choice("ab")) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.decided(df).collect()
+    assert len(got) == len(rows)
+    mixed = Counter(x["source"] for x in mixing.mix(df).collect())
+    for s, (size, target) in brute.mix_targets([(i, t, None, s) for i, t, s in rows]).items():
+        taken = sum(x["_tw_copies"] * x["_tw_size"] for x in got if x["_tw_source"] == s)
+        assert abs(taken - target) <= 10 and mixed[s] * 10 == taken
+    each, most = Counter((x["doc_id"], x["text"], x["source"]) for x in mixing.mix(df).collect()), Counter(rows)
+    assert all(each[k] <= 2 * most[k] for k in each)
+
+
 def test_mixing(docs, empty):
     want = brute.mix_targets(ROWS)
     rows = mixing.decided(docs).collect()
     for s, (size, target) in want.items():
         own = [r for r in rows if r["_tw_source"] == s]
         assert own[0]["_tw_source_size"] == size and abs(own[0]["_tw_target"] - target) < 1e-6
-        taken = sum(r["_tw_copies"] * r["_tw_size"] * r["_tw_rows"] for r in own)
-        assert abs(taken - target) <= max(r["_tw_size"] * r["_tw_rows"] for r in own)
+        taken = sum(r["_tw_copies"] * r["_tw_size"] for r in own)
+        assert abs(taken - target) <= max(r["_tw_size"] for r in own)
         assert all(0 <= r["_tw_copies"] <= 2 for r in own)
     again = mixing.decided(docs.repartition(3)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r["_tw_copies"] * r["_tw_rows"] for r in rows)
+    assert mixed.count() == sum(r["_tw_copies"] for r in rows)
     assert mixing.mix(empty).count() == 0
 
 
