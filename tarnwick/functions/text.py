@@ -65,8 +65,12 @@ def ident_tokens(text: Column | str) -> Column:
 
 def bm25_tokens(text: Column | str) -> Column:
     """Each word in lower case, followed by its camel and snake parts of more than one letter; a word of one part counts twice."""
-    both = F.transform(words(text), lambda w: F.concat(F.array(F.lower(w)), F.filter(F.transform(camel_parts(w), F.lower), lambda t: F.length(t) > 1)))
-    return F.flatten(both)
+    def own(w: Column) -> Column:
+        plain = (F.lower(w) == w) & (F.instr(w, "_") == 0)  # most words: one part, no pattern needed
+        parts = F.when(plain, F.array(w)).otherwise(F.transform(camel_parts(w), F.lower))
+        return F.concat(F.array(F.lower(w)), F.filter(parts, lambda t: F.length(t) > 1))
+
+    return F.flatten(F.transform(words(text), own))
 
 
 def content_tokens(text: Column | str) -> Column:
@@ -141,15 +145,18 @@ def cache_key(model: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(model), F.lit("\0"), text))
 
 
-# What a rendered answer adds to its prose.
+#: What a rendered answer adds to its prose, as operators.ask writes it: where a piece of code lies, and that it was shown.
+SHOWN, SEEN = "**{where}**", "(see {where} above)"
 CITATION, FENCED, BLANKS = "\\[\\[[^\\]]*\\]\\]", "(?s)```.*?```", "\\n{3,}"
-CODE_HEAD, BACK_REFERENCE = "\\*\\*`[^`\\n]+`\\s*L\\d+(?:-\\d+)?\\*\\*[^\\n]*", "\\*\\(see\\s+`[^`\\n]+`\\s*above\\)\\*"
+CODE_HEAD, BACK_REFERENCE = (re.escape(x).replace(re.escape("{where}"), "[^\\s:]+:\\d+-\\d+").replace("\\ ", " ") for x in (SHOWN, SEEN))
+# The same marks in answers that name files between ticks.
+TICKED = ["\\*\\*`[^`\\n]+`\\s*L\\d+(?:-\\d+)?\\*\\*[^\\n]*", "\\*\\(see\\s+`[^`\\n]+`\\s*above\\)\\*"]
 
 
 def strip_code(text: Column | str) -> Column:
     """An answer's prose: without fenced code, its headers, references to earlier code, citations and runs of blank lines."""
     t = c(text)
-    for mark in (FENCED, CODE_HEAD, BACK_REFERENCE, CITATION):
+    for mark in (FENCED, CODE_HEAD, BACK_REFERENCE, *TICKED, CITATION):
         t = F.regexp_replace(t, mark, "")
     return F.trim(F.regexp_replace(t, BLANKS, "\n\n"))
 
@@ -176,12 +183,13 @@ def slug(path: Column | str) -> Column:
 
 
 def citations(text: Column | str) -> Column:
-    """The insides of [[k]], [[k:lo-hi]] and [[k:lo-hi,lo-hi]]."""
-    return F.regexp_extract_all(c(text), F.lit("\\[\\[([0-9]+(?::L?[0-9]+(?:-L?[0-9]+)?(?:,L?[0-9]+(?:-L?[0-9]+)?)*)?)\\]\\]"), F.lit(1))
+    """The insides of [[k]], [[k:lo-hi]] and [[k:lo-hi,lo-hi]], without blanks; numbers of lines may follow an L or l."""
+    span = "\\s*[Ll]?[0-9]+\\s*(?:-\\s*[Ll]?[0-9]+\\s*)?"
+    return F.transform(F.regexp_extract_all(c(text), F.lit(f"\\[\\[\\s*([0-9]+\\s*(?::{span}(?:,{span})*)?)\\]\\]"), F.lit(1)), lambda x: F.regexp_replace(x, "\\s", ""))
 
 
 def parse_ranges(spec: Column | str) -> Column:
     """'3:10-20,L25' -> [{lo: 10, hi: 20}, {lo: 25, hi: 25}]; without ranges empty."""
-    body = F.regexp_replace(F.when(F.instr(c(spec), ":") > 0, F.element_at(F.split(c(spec), ":"), 2)), "L", "")
+    body = F.regexp_replace(F.when(F.instr(c(spec), ":") > 0, F.element_at(F.split(c(spec), ":"), 2)), "[Ll\\s]", "")
     parts = F.coalesce(F.split(body, ","), F.array().cast("array<string>"))
     return F.transform(parts, lambda p: F.struct(F.element_at(F.split(p, "-"), 1).cast("int").alias("lo"), F.element_at(F.split(p, "-"), -1).cast("int").alias("hi")))

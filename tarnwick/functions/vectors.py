@@ -22,13 +22,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(a: Column, then) -> Column:
+    """then(a), with a worked out once a row instead of wherever it is used."""
+    return F.transform(F.array(a), then)[0]
+
+
 def unit(a: Column) -> Column:
     """Of length 1; a zero vector stays as it is."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v: once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return once(a, scaled)
 
 
 def hashed_embedding(text: Column, dims: int = 256) -> Column:
     """Bag-of-words vector: each [A-Za-z_]+ of the lower-cased text counts in the bucket of its MD5's first four bytes."""
     bucket = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z_]+"), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
+    counts = once(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double")))
     return unit(counts)

@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.functions.text import FENCE
+from tarnwick.functions.text import FENCE, SEEN, SHOWN
 
-CITE = re.compile(r"\[\[(\d+)(?::((?:L?\d+(?:-L?\d+)?)(?:,L?\d+(?:-L?\d+)?)*))?\]\]")
+SPAN = r"\s*[Ll]?\d+\s*(?:-\s*[Ll]?\d+\s*)?"
+CITE = re.compile(rf"\[\[\s*(\d+)\s*(?::({SPAN}(?:,{SPAN})*))?\]\]")
 PARTIAL = re.compile(r"\[(?:\[[^\]]*\]?)?$")
 PAGE = 24_000
 BODY = 200_000
@@ -33,7 +34,7 @@ def numbered(text: str, first: int) -> str:
 
 def ranges(spec: str | None) -> list[tuple[int, int]]:
     out = []
-    for part in (spec or "").replace("L", "").split(","):
+    for part in re.sub(r"[Ll\s]", "", spec or "").split(","):
         if part:
             lo, _, hi = part.partition("-")
             out.append((int(lo), int(hi or lo)))
@@ -69,12 +70,12 @@ def cite(k: int, spec: str | None, cands: list[dict], symbols: dict[str, list[di
             continue
         where = f"{c['file']}:{lo}-{hi}"
         if (c["file"], lo, hi) in seen:
-            out.append(f"(see {where} above)")
+            out.append(SEEN.format(where=where))
             continue
         seen.add((c["file"], lo, hi))
         body = "\n".join(lines[lo - c["start_line"] : hi - c["start_line"] + 1])
         fence = "`" * max(3, 1 + max((len(m) for m in re.findall(r"`+", body)), default=0))
-        out.append(f"\n**{where}**\n{fence}{FENCE.get(c['file'].rpartition('.')[2], '')}\n{body}\n{fence}\n")
+        out.append(f"\n{SHOWN.format(where=where)}\n{fence}{FENCE.get(c['file'].rpartition('.')[2], '')}\n{body}\n{fence}\n")
     return "".join(out)
 
 

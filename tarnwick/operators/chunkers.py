@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +50,11 @@ def weight(lines: list[str]) -> int:
     return sum(sum(not c.isspace() for c in x) for x in lines)
 
 
+def totals(lines: list[str]) -> list[int]:
+    """Weights of the lines summed up from 0, so that the weight of any run is one subtraction."""
+    return [0, *accumulate(weight([x]) for x in lines)]
+
+
 def line_windows(lines: list[str], lo: int, hi: int, budget: int) -> list[tuple[int, int]]:
     """Greedy windows of lines lo to hi within the budget; a line over the budget stands alone."""
     out, start, size = [], lo, 0
@@ -80,6 +86,7 @@ def packed(units: list[Unit], lines: list[str], budget: int) -> list[dict]:
     """Chunks of the units: small neighbours are merged, an oversized unit is cut at its inner units, or else by lines."""
     out: list[dict] = []
     held: list[Unit] = []
+    total = totals(lines)
 
     def flush() -> None:
         if held:
@@ -89,8 +96,8 @@ def packed(units: list[Unit], lines: list[str], budget: int) -> list[dict]:
             held.clear()
 
     for u in units:
-        size = weight(lines[u.lo - 1 : u.hi])
-        if held and weight(lines[held[0].lo - 1 : u.hi]) > budget:
+        size = total[u.hi] - total[u.lo - 1]
+        if held and total[u.hi] - total[held[0].lo - 1] > budget:
             flush()
         if size <= budget:
             held.append(u)
@@ -102,10 +109,10 @@ def packed(units: list[Unit], lines: list[str], budget: int) -> list[dict]:
             inner = [Unit(x.lo + u.lo - 1, x.hi + u.lo - 1, x.kind, x.name) for x in covering([Unit(x.lo - u.lo + 1, x.hi - u.lo + 1, x.kind, x.name) for x in inner], u.hi - u.lo + 1)]
             run: list[Unit] = []
             for x in inner:
-                if run and weight(lines[run[0].lo - 1 : x.hi]) > budget:
+                if run and total[x.hi] - total[run[0].lo - 1] > budget:
                     cuts.append((run[0].lo, run[-1].hi))
                     run = []
-                if weight(lines[x.lo - 1 : x.hi]) > budget:
+                if total[x.hi] - total[x.lo - 1] > budget:
                     cuts += line_windows(lines, x.lo, x.hi, budget)
                 else:
                     run.append(x)
@@ -173,7 +180,7 @@ class Brace:
 
 
 # Declarations by language.
-TS = Brace(("ts", "tsx", "js", "jsx", "mjs", "cjs"), (
+TS = Brace(("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts"), (
     ("function", r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)"), ("class", r"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)"),
     ("interface", r"^\s*(?:export\s+)?interface\s+(?P<name>[\w$]+)"), ("type", r"^\s*(?:export\s+)?(?:type|enum)\s+(?P<name>[\w$]+)"),
     ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)"),
@@ -270,13 +277,14 @@ class MarkdownChunker:
 
     def cuts(self, lines: list[str], scores: list[int], target: int) -> list[tuple[int, int]]:
         """Windows of lines: of the allowed cuts within half the target around it, the one with the best score, then nearest, then first."""
-        half, out, lo = target // 2, [], 0
+        half, out, lo, total = target // 2, [], 0, totals(lines)
         while lo < len(lines):
-            if weight(lines[lo:]) <= target + half:
+            if total[-1] - total[lo] <= target + half:
                 out.append((lo + 1, len(lines)))
                 break
-            size, best, hard = 0, None, None
+            best, hard = None, None
             for k in range(lo, len(lines)):
+                size = total[k] - total[lo]
                 if k > lo and scores[k]:
                     if target - half <= size <= target + half and (best is None or (scores[k], -abs(size - target)) > best[0]):
                         best = ((scores[k], -abs(size - target)), k)
@@ -284,7 +292,6 @@ class MarkdownChunker:
                         hard = k
                 if size > target + half and (best or hard):
                     break
-                size += weight([lines[k]])
             at = best[1] if best else hard
             if at is None:
                 out.append((lo + 1, len(lines)))

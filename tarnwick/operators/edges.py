@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 SCHEMA_VERSION = 3
 MENTIONS = "src string, seq int, place int, target string, kind string"
 
-TS_IMPORT = re.compile(r"""(?:import|export)\s[^'";]*?from\s*['"]([^'"]+)['"]|import\s*['"]([^'"]+)['"]|(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)""")
+#: Places of a module specifier in ECMAScript: after the from of an import or export, of a bare import, or as the one argument of require() or import().
+TS_SPECIFIER = r"""(?P<quote>['"])(?P<said>[^'"\n]+)(?P=quote)"""
+TS_IMPORT = re.compile(rf"""(?:\bfrom\s*|\bimport\s+|\bimport(?=['"])|\b(?:require|import)\s*\(\s*){TS_SPECIFIER}""")
+# Source extensions by the extension of the module they are built to, and those a specifier may leave out, in the order they are tried.
+BUILT_FROM = {".js": [".ts", ".tsx", ".d.ts", ".js", ".jsx"], ".jsx": [".tsx", ".jsx"], ".mjs": [".mts", ".mjs"], ".cjs": [".cts", ".cjs"]}
+LEFT_OUT = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
 RUBY_REQUIRE = re.compile(r"""^\s*(require_relative|require|autoload\s+:\w+\s*,)\s*\(?\s*['"]([^'"]+)['"]""", re.M)
 PHP_USE = re.compile(r"^\s*use\s+(?!function|const)([\w\\]+)(?:\s*\{([^}]*)\})?", re.M)
 PHP_NAMESPACE = re.compile(r"^\s*namespace\s+([\w\\]+)", re.M)
@@ -73,15 +78,12 @@ def python_mentions(path: str, text: str) -> Iterator[tuple[int, str, str]]:
 def ts_mentions(path: str, text: str) -> Iterator[tuple[int, int, str, str]]:
     here = posixpath.dirname(path)
     for seq, m in enumerate(TS_IMPORT.finditer(text)):
-        said = m[1] or m[2] or m[3]
+        said = m["said"]
         if not said.startswith("."):
             continue
         at = posixpath.normpath(posixpath.join(here, said))
         stem, ext = posixpath.splitext(at)
-        options = [at]
-        if ext in (".js", ".jsx", ".mjs", ".cjs"):
-            options = [stem + x for x in (".ts", ".tsx", ".d.ts", ".js", ".jsx")] + [at]
-        options += [at + x for x in (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs")] + [f"{at}/index{x}" for x in (".ts", ".tsx", ".js", ".jsx")]
+        options = [*(stem + x for x in BUILT_FROM.get(ext, [])), at, *(at + x for x in LEFT_OUT), *(f"{at}/index{x}" for x in LEFT_OUT)]
         for k, o in enumerate(options):
             yield seq, k, "f:" + o, "import"
 
@@ -127,7 +129,7 @@ def go_mentions(path: str, text: str) -> Iterator[tuple[int, int, str, str]]:
         seq += 1
 
 
-BY_EXT = {"py": python_mentions, **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs"), ts_mentions), "rb": ruby_mentions, "php": php_mentions, "go": go_mentions}
+BY_EXT = {"py": python_mentions, **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts"), ts_mentions), "rb": ruby_mentions, "php": php_mentions, "go": go_mentions}
 
 
 def addresses(path: str, text: str) -> Iterator[str]:

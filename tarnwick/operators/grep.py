@@ -38,7 +38,9 @@ def sections(hits: DataFrame, cap: int = 200) -> DataFrame:
     """Hits ranked within their role (reads by in-degree), at most cap each, with the true count."""
     w = Window.partitionBy("role")
     order = w.orderBy(F.when(F.col("role") == "reads", -F.col("in_degree")).otherwise(F.lit(0)), "file", "line")
-    return hits.withColumns({"place": F.row_number().over(order).cast("long"), "total": F.count("*").over(w)}).where(F.col("place") <= cap)
+    first = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)  # each task keeps its own first ones only
+    totals = hits.groupBy("role").agg(F.count("*").alias("total"))  # a row a role
+    return first.join(F.broadcast(totals), "role").withColumn("place", F.col("place").cast("long"))
 
 
 def reached_from(edges: DataFrame, files: DataFrame, most: int = 4) -> DataFrame:

@@ -58,7 +58,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("qvec"))
 
 
-QUERY_SQL = "SELECT vec_id AS qid, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id < 10"
+QUERY_SQL = "SELECT vec_id AS qid, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id % 20 = 0"
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ QUERIES = {
 
 PAIR = f"e AS ({A.SUPPLY_SQL}), p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind FROM e), deg AS (SELECT file, count(*) AS degree FROM (SELECT DISTINCT a AS file, b AS o FROM p UNION SELECT DISTINCT b, a FROM p) GROUP BY file)"
 COS = f"skel AS ({A.SKELETON_SQL}), cos AS (SELECT x.path AS a, y.path AS b, round(list_inner_product(list_transform(x.skel_vec, lambda v: v / sqrt(list_inner_product(x.skel_vec, x.skel_vec))), list_transform(y.skel_vec, lambda v: v / sqrt(list_inner_product(y.skel_vec, y.skel_vec)))), 6) AS cosine FROM skel x, skel y WHERE x.path <> y.path)"
-GOLD = f"gold AS (SELECT vec_id AS qid, {A.LABEL_FILE_SQL} AS file FROM embeddings WHERE vec_id < 10)"
+GOLD = f"gold AS (SELECT vec_id AS qid, {A.LABEL_FILE_SQL} AS file FROM embeddings WHERE vec_id % 20 = 0)"
 from tarnwick.plans.lexical import LINES  # noqa: E402
 
 ORACLES = {
@@ -109,6 +109,10 @@ ORACLES = {
       v AS (SELECT *, row_number() OVER (PARTITION BY qid, batch ORDER BY (id * 7) % 11, id) AS place FROM t), k AS (SELECT qid, id, place, batch, false AS rescued FROM v WHERE place <= 2),
       a AS (SELECT * FROM k UNION ALL SELECT qid, id, 1000000, 0, true FROM t WHERE rank = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.qid = t.qid AND k.id = t.id))
       SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, batch) AS "order", rescued FROM a""",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      r(user_id, k, held, allowed) AS (SELECT user_id, k, [t], true FROM e WHERE k = 1
+        UNION ALL SELECT user_id, k, CASE WHEN len(own) < 2 THEN list_append(own, t) ELSE own END, len(own) < 2 FROM (SELECT e.user_id, e.k, e.t, list_filter(r.held, lambda x: x > e.t - 3600) AS own FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+      SELECT allowed, count(*) AS n FROM r GROUP BY allowed""",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL",
     "block_probes": f"""WITH l AS (SELECT path, line, trim(text) = '' AS blank FROM ({LINES})), i AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS isle FROM l),
       b AS (SELECT path, min(line) AS lo, max(line) AS hi FROM i WHERE NOT blank GROUP BY path, isle), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY lo) - 1 AS k, count(*) OVER (PARTITION BY path) AS n FROM b)

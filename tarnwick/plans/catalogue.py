@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.plans import analysis, corpus, lexical, retrieval
+from tarnwick.plans import analysis, codebase, corpus, extras, lexical, retrieval
 
-MODULES = (retrieval, lexical, corpus, analysis)
+MODULES = (retrieval, lexical, corpus, analysis, codebase, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,16 +87,6 @@ def content_hash(spark, sf_dir: str) -> DataFrame:
     return A.files(spark, sf_dir).select("path", T.content_hash("text").alias("sha"))
 
 
-def hashed_embedding(spark, sf_dir: str) -> DataFrame:
-    """Buckets of the deterministic embedder over benchmark items, as counts by bucket."""
-    b = A.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z_]+"), F.lit(0))).alias("t"))
-    return b.select("item_id", (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint") % 256).alias("bucket")).groupBy("item_id", "bucket").agg(F.count("*").alias("n"))
-
-
-def snippets(spark, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "pages").select("page_id", T.slug(F.concat("url", F.lit("/index.md"))).alias("slug"), T.top_dir(F.substring_index("url", "://", -1)).alias("host"))
-
-
 def incremental(spark, sf_dir: str) -> DataFrame:
     """What an index pass does to each path: new, changed, same or orphan, against an older state of the corpus."""
     now = A.files(spark, sf_dir).select("path", T.content_hash("text").alias("sha"))
@@ -112,7 +102,7 @@ def near_edges(spark, sf_dir: str) -> DataFrame:
     return links.groupBy("src").agg(F.count("*").alias("links"))
 
 
-QUERIES = {"lines": lines, "nws": nws, "pack_lines": pack_lines, "partition_check": partition_check, "headings": headings, "census": census, "content_hash": content_hash, "hashed_embedding": hashed_embedding, "snippets": snippets, "incremental": incremental, "page_links": near_edges}
+QUERIES = {"lines": lines, "nws": nws, "pack_lines": pack_lines, "partition_check": partition_check, "headings": headings, "census": census, "content_hash": content_hash, "incremental": incremental, "page_links": near_edges}
 
 NWS = r"length(regexp_replace({t}, '[\s\x0B\x1C-\x1F\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g'))"
 FILE = A.FILE_SQL
@@ -124,13 +114,11 @@ ORACLES = {
         UNION ALL SELECT l.path, l.line, CASE WHEN w.total + l.n > {BUDGET} THEN l.line ELSE w.s END, CASE WHEN w.total + l.n > {BUDGET} THEN l.n ELSE w.total + l.n END FROM w JOIN l ON l.path = w.path AND l.line = w.line + 1)
       SELECT path, s AS start_line, max(line) AS end_line, max(total) AS nws FROM w GROUP BY path, s""",
     "partition_check": "SELECT '' AS path, '' AS reason WHERE false",
-    "headings": "SELECT url AS path, line, level, CASE line WHEN 1 THEN t WHEN 3 THEN t || ' > body' ELSE t || ' > body > deep' END AS crumb FROM (SELECT url, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS t FROM pages), (VALUES (1::BIGINT, 1::BIGINT), (3, 2), (8, 3)) AS v(line, level)",
-    "census": f"""WITH f AS (SELECT CASE doc_id % 5 WHEN 1 THEN 'node_modules/' || path WHEN 2 THEN 'third_party/' || path WHEN 3 THEN replace(path, '.md', '.pb.go') ELSE path END AS path, strlen(substring(text, 1, 60)) AS b, doc_id FROM ({FILE})),
-      r AS (SELECT *, CASE doc_id % 5 WHEN 1 THEN 'excluded' WHEN 2 THEN 'vendored' WHEN 3 THEN 'generated' END AS reason FROM f)
+    "census": f"""WITH f AS (SELECT CASE doc_id % 5 WHEN 1 THEN 'node_modules/' || path WHEN 2 THEN 'third_party/' || path WHEN 3 THEN replace(path, '.md', '.pb.go') ELSE path END AS path, strlen(text) AS b, doc_id, substring(text, 1, 2048) AS head FROM ({FILE})),
+      h AS (SELECT *, length(head) - length(replace(head, chr(10), '')) AS breaks FROM f),
+      r AS (SELECT *, CASE doc_id % 5 WHEN 1 THEN 'excluded' WHEN 2 THEN 'vendored' WHEN 3 THEN 'generated' ELSE CASE WHEN regexp_matches(head, '(?i){C.GENERATED_MARKS}') OR (length(head) >= 2000 AND breaks <= 2) OR (breaks > 0 AND length(head) / (breaks + 1) > 400) THEN 'generated' WHEN b > 600000 THEN 'too-big' END END AS reason FROM h)
       SELECT by_ AS by, key, count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT 'ext' AS by_, 'md' AS key, b FROM r WHERE reason IS NULL UNION ALL SELECT 'dir', split_part(path, '/', 1), b FROM r WHERE reason IS NULL UNION ALL SELECT 'reason', reason, b FROM r WHERE reason IS NOT NULL) GROUP BY by_, key""",
     "content_hash": f"SELECT path, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha FROM ({FILE})",
-    "hashed_embedding": "SELECT item_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z_]+')) AS t FROM benchmark) GROUP BY ALL",
-    "snippets": "SELECT page_id, url AS slug, split_part(regexp_replace(url, '^.*://', ''), '/', 1) AS host FROM pages",
     "incremental": f"""WITH now_ AS (SELECT path, doc_id FROM ({FILE}))
       SELECT change, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM now_ UNION ALL SELECT 'orphan' FROM now_ WHERE doc_id % 11 = 0) GROUP BY change""",
     "page_links": """SELECT url AS src, count(*) AS links FROM (SELECT url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS dst FROM pages) WHERE url <> dst GROUP BY url""",

@@ -29,9 +29,9 @@ RANKED = """best AS (SELECT qid, file, max(score) AS score FROM scored GROUP BY
 owner AS (SELECT b.qid, b.file, b.score, min(s.id) AS best FROM best b JOIN scored s ON s.qid = b.qid AND s.file = b.file AND s.score = b.score GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best) AS rank FROM owner)"""
 BUNDLE = f"""edge AS ({A.LABEL_EDGE_SQL}), near AS (SELECT src AS file, dst AS other FROM edge UNION SELECT dst, src FROM edge),
-cand AS (SELECT *, rank <= 4 AND (score >= 0.97 * first_value(score) OVER (PARTITION BY qid ORDER BY rank) OR rank = 1) AS core FROM ranked WHERE rank <= 5),
-extra AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM ranked r WHERE rank > 5 AND EXISTS (
-  SELECT 1 FROM ranked h JOIN near ON near.file = h.file WHERE h.qid = r.qid AND h.rank <= 3 AND near.other = r.file)) WHERE k <= 2),
+cand AS (SELECT *, rank <= 4 AND (score >= 0.97 * first_value(score) OVER (PARTITION BY qid ORDER BY rank) OR rank = 1) AS core FROM ranked WHERE rank <= 12),
+extra AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM ranked r WHERE rank > 12 AND EXISTS (
+  SELECT 1 FROM ranked h JOIN near ON near.file = h.file WHERE h.qid = r.qid AND h.rank <= 3 AND near.other = r.file)) WHERE k <= 7),
 low AS (SELECT qid, file, min(k) AS k FROM (SELECT qid, file, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, id) AS k FROM scored) WHERE k <= 15 AND file NOT LIKE 'tests/%' GROUP BY qid, file),
 part AS (
   SELECT qid, file, score, best, CASE WHEN core THEN 1 ELSE 2 END AS tier, 'rank' AS via, rank AS o FROM cand
@@ -130,6 +130,6 @@ ORACLES = {
       m AS (SELECT qid, id, sum(w / (60 + k)) AS s FROM r GROUP BY qid, id) SELECT qid, id, round(s / max(s) OVER (PARTITION BY qid), 6) AS score FROM m""",
     "flow_match": f"""WITH f AS ({A.FLOW_SQL}), q AS ({A.QUERY_SQL}), m AS (SELECT qid, id, round((list_inner_product(vec, qvec) + 1) / 2, 6) AS sim FROM f CROSS JOIN q)
       SELECT qid, id, sim, sim AS qscore, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM m WHERE sim >= 0.62) WHERE rank <= 2""",
-    "flow_cache": f"""WITH f AS ({A.FLOW_SQL}), n AS (SELECT * FROM f WHERE id < 5)
+    "flow_cache": f"""WITH f AS ({A.FLOW_SQL}), n AS (SELECT * FROM f)
       SELECT id, length(question) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM n WHERE list_inner_product(f.vec, n.vec) > 0.92) UNION ALL SELECT id + 1000000, length(question) FROM n""",
 }

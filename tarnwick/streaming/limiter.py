@@ -35,17 +35,26 @@ def limited(hits: DataFrame, limit: int, seconds: float, key: str = "user_id", t
     return hits.groupBy(key).applyInPandas(run, StructType([*hits.schema.fields, StructField("allowed", BooleanType())]))
 
 
-def limited_stream(hits: DataFrame, limit: int, seconds: float, key: str = "user_id") -> DataFrame:
-    """Streaming: (key, ts, allowed); the state of a key is the hits that count, and times out with them."""
+def limited_stream(hits: DataFrame, limit: int, seconds: float, key: str = "user_id", delay: str = "10 minutes") -> DataFrame:
+    """Streaming: (key, ts, allowed).
+
+    The state of a key is the hits that count.  It goes once the watermark, delay behind the newest hit, has
+    passed the window of the last of them, so keys that fall silent hold nothing; hits later than that are
+    judged as the first of their key.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values("ts")
         times = (rows["ts"].astype("int64") / (1e9 if "ns" in str(rows["ts"].dtype) else 1e6)).tolist()
         out = pd.DataFrame({key: k[0], "ts": rows["ts"].to_numpy(), "allowed": allow(times, limit, seconds, held)})
         state.update((list(held),))
+        state.setTimeoutTimestamp(max(int((held[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield out
 
     schema = {f.name: f for f in hits.schema}
-    return hits.groupBy(key).applyInPandasWithState(run, f"{key} {schema[key].dataType.simpleString()}, ts timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return hits.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(run, f"{key} {schema[key].dataType.simpleString()}, ts timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
