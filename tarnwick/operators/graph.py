@@ -6,6 +6,7 @@ import heapq
 import json
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,29 +34,59 @@ def god_nodes(edges: DataFrame, k: int = 10) -> DataFrame:
     return degrees(edges).orderBy(F.col("degree").desc(), "file").limit(k)
 
 
-def similarities(files: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, cosine) of skeleton vectors, both ways, of at least this cosine.
+#: Vectors of a block, and vectors up to which one side is a single block sent to all tasks.
+BLOCK, ONE_SIDE = 4096, 20_000
 
-    One side is broadcast after its count proved small; beyond that both are dealt to blocks,
-    so each task sees one pair of blocks and nothing is collected.
+
+def similarities(files: DataFrame, least: float, top: int | None = None) -> DataFrame:
+    """Pairs (a, b, cosine) of skeleton vectors, both ways, of at least this cosine; of each a only the first few of a block, if top says so.
+
+    Vectors are dealt to blocks of about BLOCK; each task multiplies one pair of blocks, so it holds two blocks and
+    a strip of their product, nothing is collected and, with top, each block gives a few rows a vector.
     """
-    v = files.where("skel_vec is not null").select("path", unit(F.col("skel_vec")).alias("v"))
-    left, right = v.select(F.col("path").alias("a"), F.col("v").alias("va")), v.select(F.col("path").alias("b"), F.col("v").alias("vb"))
+    v = files.where("skel_vec is not null").select("path", F.transform("skel_vec", lambda x: x.cast("double")).alias("v"))
     n = v.count()
-    if n <= 20_000:
-        pairs = left.crossJoin(F.broadcast(right))
-    else:
-        blocks = max(2, n // 10_000)
-        numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-        lb = left.withColumn("x", F.pmod(F.hash("a"), F.lit(blocks))).withColumn("y", F.explode(numbers))
-        rb = right.withColumn("y", F.pmod(F.hash("b"), F.lit(blocks))).withColumn("x", F.explode(numbers))
-        pairs = lb.join(rb, ["x", "y"])
-    return pairs.where("a <> b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    blocks = 1 if n <= ONE_SIDE else -(-n // BLOCK)
+    own = v.withColumn("own", F.pmod(F.xxhash64("path"), F.lit(blocks)))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left, right = own.select("path", "v", F.col("own").alias("x"), F.lit(True).alias("here")).withColumn("y", numbers), own.select("path", "v", F.col("own").alias("y"), F.lit(False).alias("here")).withColumn("x", numbers).select("path", "v", "x", "here", "y")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sides = [pdf[pdf["here"] == h].sort_values("path") for h in (True, False)]
+        a, b = (np.stack(s["v"].to_numpy()) if len(s) else np.zeros((0, 1)) for s in sides)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": str, "b": str, "cosine": float})
+        a, b = (m / np.where((norm := np.linalg.norm(m, axis=1, keepdims=True)) > 0, norm, 1) for m in (a, b))
+        names, others = sides[0]["path"].to_numpy(), sides[1]["path"].to_numpy()
+        for at in range(0, len(a), 512):
+            cos = np.round(a[at : at + 512] @ b.T, 6) + 0.0
+            cos[names[at : at + 512][:, None] == others[None]] = -2  # a file isn't its own neighbour
+            if top is not None and top < len(others):
+                order = np.argsort(-cos, axis=1, kind="stable")[:, :top]  # others are in order, so ties go to the first name
+                i, j = np.repeat(np.arange(len(cos)), top), order.ravel()
+            else:
+                i, j = (x.ravel() for x in np.indices(cos.shape))
+            keep = (cos[i, j] >= least) & (cos[i, j] > -1.5)
+            out.append(pd.DataFrame({"a": names[at + i[keep]], "b": others[j[keep]], "cosine": cos[i[keep], j[keep]]}))
+        return pd.concat(out)
+
+    return left.unionByName(right).groupBy("x", "y").applyInPandas(run, "a string, b string, cosine double")
+
+
+def similarities_to(files: DataFrame, path: str, least: float) -> DataFrame:
+    """One file's neighbours: (b, cosine)."""
+    row = files.where((F.col("path") == path) & F.col("skel_vec").isNotNull()).select("skel_vec").first()
+    if row is None:
+        return files.where("false").select(F.col("path").alias("b"), F.lit(0.0).alias("cosine"))
+    other = files.where((F.col("path") != path) & F.col("skel_vec").isNotNull())
+    cosine = F.round(dot(unit(F.col("skel_vec")), unit(F.lit([float(x) for x in row["skel_vec"]]))), 6)
+    return other.select(F.col("path").alias("b"), cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
 def semantic_edges(files: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Each file's nearest few of at least semantic_min, made symmetric: (a, b, cosine), a < b."""
-    near = similarities(files, p.semantic_min).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))).where(F.col("r") <= p.semantic_top)
+    near = similarities(files, p.semantic_min, p.semantic_top).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))).where(F.col("r") <= p.semantic_top)
     return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
 
 

@@ -30,7 +30,7 @@ def replace_edges(old: DataFrame, new: DataFrame, reindexed: DataFrame, orphans:
 
 
 class Store:
-    """Relations as versioned Parquet folders under one root; a pass writes a new version and then points to it."""
+    """Relations as versioned Parquet folders under one root; a pass writes what it changes and then points to it."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,21 +48,54 @@ class Store:
             return 0
         return max((int(s.getPath().getName()) for s in fs.listStatus(self._path("_versions"))), default=0)
 
+    def _parts(self, v: int) -> dict[str, int]:
+        """Where each relation's rows lie: the version that wrote them last."""
+        fs, at = self._fs(), self._path("_versions", str(v))
+        return {n: int(k) for s in fs.listStatus(at) for n, _, k in [s.getPath().getName().partition("@")]}
+
     def read(self, name: str) -> DataFrame:
         v = self.version()
         if not v:
             return self.spark.createDataFrame([], RELATIONS[name])
-        return self.spark.read.schema(RELATIONS[name]).parquet(f"{self.root}/{v}/{name}")
+        return self.spark.read.schema(RELATIONS[name]).parquet(f"{self.root}/{self._parts(v)[name]}/{name}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write all relations of the next version; it shows only once its marker is made, so a failed pass changes nothing."""
-        v = self.version() + 1
+        """Write the relations that changed as a new version, which shows only once its marker is made, so a failed pass changes nothing.
+
+        Relations that aren't given stay where they are.  A version that no later one but the last points to is
+        deleted, so readers of the version before can finish.
+        """
+        old = self.version()
+        v, at = old + 1, self._parts(old) if old else {}
         for name in RELATIONS:
-            df = tables[name] if name in tables else self.read(name)
-            df.write.mode("overwrite").parquet(f"{self.root}/{v}/{name}")
-        self._fs().mkdirs(self._path("_versions", str(v)))
+            if name in tables or not old:
+                df = tables[name] if name in tables else self.read(name)
+                df.write.mode("overwrite").parquet(f"{self.root}/{v}/{name}")
+                at[name] = v
+        fs = self._fs()
+        for name, k in at.items():
+            fs.mkdirs(self._path("_making", str(v), f"{name}@{k}"))
+        fs.mkdirs(self._path("_versions"))
+        fs.rename(self._path("_making", str(v)), self._path("_versions", str(v)))
+        self._forget(v)
         return v
 
+    def _forget(self, v: int) -> None:
+        """Delete markers before the last version but one, and rows that neither of the two has."""
+        fs = self._fs()
+        for s in fs.listStatus(self._path("_versions")):
+            if int(s.getPath().getName()) < v - 1:
+                fs.delete(s.getPath(), True)
+        kept = {(k, n) for k0 in (v, v - 1) if k0 and fs.exists(self._path("_versions", str(k0))) for n, k in self._parts(k0).items()}
+        for s in fs.listStatus(self._path()):
+            name = s.getPath().getName()
+            if name.isdigit():
+                for t in fs.listStatus(s.getPath()):
+                    if (int(name), t.getPath().getName()) not in kept:
+                        fs.delete(t.getPath(), True)
+                if not fs.listStatus(s.getPath()):
+                    fs.delete(s.getPath(), True)
+
     def stats(self) -> DataFrame:
         rows = [self.read(n).agg(F.lit(n).alias("relation"), F.count("*").alias("rows")) for n in RELATIONS]
         out = rows[0]
