@@ -50,7 +50,7 @@ from tarnwick.llm.common import components, few, only_in, stored, table
 SHINGLE = 5
 NUM, DEN = 4, 5  # similarity of at least NUM / DEN
 CELLS = 256
-RATIO = 1.5  # of a band's bounds
+RATIO = 1.3  # of a band's bounds; the fewest signatures a document, weighing narrow bands against sets that lie in two
 ELEMENTS = 2.5  # behind a signature, at least, where a scheme allows it
 CACHE = 150_000
 BLOCK = 2048
