@@ -319,7 +319,9 @@ class MarkdownChunker:
 
 
 def builtin() -> list:
-    return [PythonChunker(), BraceChunker(TS), BraceChunker(GO), BraceChunker(RUST), BraceChunker(PHP), BraceChunker(RUBY), MarkdownChunker()]
+    from tarnwick.operators.php import PhpChunker  # it builds on this module
+
+    return [PythonChunker(), BraceChunker(TS), BraceChunker(GO), BraceChunker(RUST), PhpChunker(), BraceChunker(RUBY), MarkdownChunker()]
 
 
 def strategy_for(path: str, own: list | None = None):
@@ -328,19 +330,20 @@ def strategy_for(path: str, own: list | None = None):
     return next((s for s in [*(own or []), *builtin()] if ext in s.exts), None)
 
 
+def by_units(path: str, text: str, p: Parsed, budget: int) -> dict:
+    """Chunks of a parsed file: its units, merged and cut to the budget."""
+    lines = text.splitlines()
+    units = covering(p.units, len(lines)) if p.ok else [Unit(a, b, "lines") for a, b in line_windows(lines, 1, len(lines), budget)]
+    chunks = packed(units, lines, budget) if p.ok else [{"kind": u.kind, "name": "", "part": "", "start_line": u.lo, "end_line": u.hi} for u in units]
+    for c in chunks:
+        c["text"] = "\n".join(lines[c["start_line"] - 1 : c["end_line"]])
+        c["breadcrumb"] = path + (f" > {c['name']}" if c["name"] else "")
+    return {"parse_ok": p.ok, "total_lines": len(lines), "skeleton": p.skeleton, "chunks": chunks, "symbols": p.symbols}
+
+
 def chunk_file(path: str, text: str, strategy, budget: int = DEFAULTS.chunk_budget) -> dict:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if hasattr(strategy, "chunk"):
-        out = strategy.chunk(path, text, budget)
-    else:
-        lines = text.splitlines()
-        p = strategy.parse(path, text)
-        units = covering(p.units, len(lines)) if p.ok else [Unit(a, b, "lines") for a, b in line_windows(lines, 1, len(lines), budget)]
-        chunks = packed(units, lines, budget) if p.ok else [{"kind": u.kind, "name": "", "part": "", "start_line": u.lo, "end_line": u.hi} for u in units]
-        for c in chunks:
-            c["text"] = "\n".join(lines[c["start_line"] - 1 : c["end_line"]])
-            c["breadcrumb"] = path + (f" > {c['name']}" if c["name"] else "")
-        out = {"parse_ok": p.ok, "total_lines": len(lines), "skeleton": p.skeleton, "chunks": chunks, "symbols": p.symbols}
+    out = strategy.chunk(path, text, budget) if hasattr(strategy, "chunk") else by_units(path, text, strategy.parse(path, text), budget)
     return {"path": path, "sha": hashlib.sha256(text.encode()).hexdigest(), **out}
 
 

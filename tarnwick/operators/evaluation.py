@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,61 @@ def block_probes(lines: DataFrame, most: int = 60) -> DataFrame:
     return ranked.where(F.col("k") % stride == 0).select("path", "lo", "hi")
 
 
+# Entries and share of its file's lines beyond which a literal is a table; length of a probe's question.
+TABLE_ENTRIES, TABLE_SHARE, QUESTION = 10, 0.3, 120
+
+
+def largest_table(source: str) -> tuple[list[tuple[ast.expr, ast.expr]], int] | None:
+    """Entries (first and last expression) and line span of the literal that takes the most lines of a Python file, if it is a table."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    best = None
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Dict):
+            entries = [(k or v, v) for k, v in zip(node.keys, node.values)]
+        elif isinstance(node, ast.List):
+            entries = [(e, e) for e in node.elts]
+        else:
+            continue
+        span = node.end_lineno - node.lineno
+        if len(entries) > TABLE_ENTRIES and (best is None or span > best[1]):
+            best = (entries, span)
+    return best if best and best[1] > TABLE_SHARE * len(source.splitlines()) else None
+
+
+def python_targets(source: str) -> list[tuple[str, int, int]]:
+    """What a Python file could be asked for (question, lo, hi): the entries of its table by their constants, or else its top-level definitions."""
+    if found := largest_table(source):
+        words = lambda *nodes: " ".join(str(n.value) for top in dict.fromkeys(nodes) for n in ast.walk(top) if isinstance(n, ast.Constant))
+        return [(words(first, last)[:QUESTION], first.lineno, last.end_lineno) for first, last in found[0]]
+    try:
+        body = ast.parse(source).body
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    defs = [x for x in body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    return [(f"{x.name} {ast.get_docstring(x) or ''}".strip()[:QUESTION], x.lineno, x.end_lineno) for x in defs]
+
+
+def python_probes(files: DataFrame, most: int = 60) -> DataFrame:
+    """files (path, text) -> probes (path, question, lo, hi) of Python files, at most `most` a file by an even stride.
+
+    Files that don't parse, and null or empty texts, give no rows; block_probes() takes those.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"]):
+                found = python_targets(text or "")
+                n = min(most, len(found))
+                rows += [(path, *found[k * len(found) // n]) for k in range(n)]
+            yield pd.DataFrame(rows, columns=["path", "question", "lo", "hi"])
+
+    return files.where(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, "path string, question string, lo long, hi long")
+
+
 def measure(probes: DataFrame, ranked: DataFrame) -> DataFrame:
     """probes (qid, path, lo, hi), ranked (qid, id, path, start_line, end_line, rank) -> (qid, path, iou, hit1, hit5).
 

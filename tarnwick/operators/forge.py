@@ -6,8 +6,9 @@ import hashlib
 import importlib.util
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +95,27 @@ def load_strategies(folder: str, trust: Trust) -> tuple[list, list[str]]:
     return found, skipped
 
 
-def shapes(chunks: DataFrame, least: int = 120) -> DataFrame:
-    """Files that may deserve a strategy of their own: (path, shape), one chunk of most of the file, or plain line windows."""
+def shapes(chunks: DataFrame, least: int = 120, files: DataFrame | None = None) -> DataFrame:
+    """Files that may deserve a strategy of their own: (path, shape).
+
+    A table is a Python file of files (path, text) that one literal fills; a blob has one chunk of most of the
+    file, a window plain line windows.  The first shape that fits counts.
+    """
     size = F.col("end_line") - F.col("start_line") + 1
     rows = chunks.groupBy("path").agg(F.sum(size).alias("lines"), F.max(size).alias("largest"), F.avg((F.col("kind") == "lines").cast("double")).alias("plain"))
-    shape = F.when(F.col("largest") > 0.55 * F.col("lines"), "blob").when(F.col("plain") > 0.5, "window")
-    return rows.where(F.col("lines") >= least).select("path", shape.alias("shape")).where("shape is not null")
+    rows = rows.where(F.col("lines") >= least)
+    if files is None:
+        rows = rows.withColumn("table", F.lit(False))
+    else:
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield pdf.loc[[evaluation.largest_table(t or "") is not None for t in pdf["text"]], ["path"]]
+
+        tables = files.where(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, "path string")
+        rows = rows.join(tables.distinct().withColumn("table", F.lit(True)), "path", "left")
+    shape = F.when(F.col("table"), "table").when(F.col("largest") > 0.55 * F.col("lines"), "blob").when(F.col("plain") > 0.5, "window")
+    return rows.select("path", shape.alias("shape")).where("shape is not null")
 
 
 def gate(files: DataFrame, rank: Callable[[DataFrame], DataFrame], own: list, probes: DataFrame) -> DataFrame:
