@@ -5,7 +5,9 @@ the lower-cased text, anything but letters a space), scaled to length 1; every b
 the text counts.  One linear support vector machine for each family against the rest
 names the language's family; within it one machine for each pair of languages votes.
 Machines are trained in numpy by dual coordinate descent on a sample of at most PER_LANG
-texts a language and SAMPLE in all, drawn by a hash of the id.
+texts a language and SAMPLE in all, of at most LONGEST bytes each, drawn by a hash of id and
+text.  Equal rows count once there, and rows without id or with one id by their texts, so the driver
+holds a bounded number of bytes whatever repeats.  A language without texts that short is not learned.
 
 The score is the sigmoid of the weakest margin that decided.  Null texts and texts
 without a letter are `und` with score 0, and so is every text if nothing was learned.
@@ -28,6 +30,7 @@ from tarnwick.llm.common import crc_mod, table
 DIM = 1 << 13
 PER_LANG = 500
 SAMPLE = 5000
+LONGEST = 50_000
 PIECE = 120  # bytes of a piece of each sampled text, learned besides the whole
 STEP = 1 << 20
 COST = 20.0
@@ -145,18 +148,20 @@ def _sigmoid(x: float) -> float:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """Rows of docs drawn by a hash of the id, about as many a language, in a fixed order."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row a language
+    """Different rows of docs drawn by a hash of id and text, about as many a language, in a fixed order."""
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 40))
+    known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= LONGEST))
+    known = known.select(F.col(lang_col).alias("_tw_lang"), draw.alias("_tw_draw"), F.col(text_col).alias("_tw_text"))
+    counts = {r[0]: r[1] for r in known.groupBy("_tw_lang").agg(F.approx_count_distinct("_tw_draw")).collect()}  # a row a language
     if not counts:
         return []
     want = max(1, min(PER_LANG, SAMPLE // len(counts)))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 40))
     limits = docs.sparkSession.createDataFrame([(k, int(min(1.0, (want + 4 * want**0.5) / n) * (1 << 40))) for k, n in counts.items()], "_tw_lang string, _tw_limit long")
-    rows = known.select(F.col(lang_col).alias("_tw_lang"), draw.alias("_tw_draw"), F.col(id_col).alias("_tw_id"), F.col(text_col).alias("_tw_text")).join(F.broadcast(limits), "_tw_lang").where("_tw_draw < _tw_limit").collect()
+    drawn = known.join(F.broadcast(limits), "_tw_lang").where("_tw_draw < _tw_limit")
+    rows = drawn.groupBy("_tw_lang", "_tw_draw").agg(F.min("_tw_text").alias("_tw_text")).collect()
     taken: dict[str, int] = {}
     out = []
-    for r in sorted(rows, key=lambda r: (r["_tw_lang"], r["_tw_draw"], r["_tw_id"] or 0, r["_tw_text"])):
+    for r in sorted(rows, key=lambda r: (r["_tw_lang"], r["_tw_draw"])):
         taken[r["_tw_lang"]] = taken.get(r["_tw_lang"], 0) + 1
         if taken[r["_tw_lang"]] <= want:
             out.append((r["_tw_lang"], r["_tw_text"].encode()))

@@ -314,6 +314,23 @@ def test_langid(spark, docs, empty):
     assert {k for k, _ in rows} == {"en", "fr", "de"} and langid.sample(empty, "doc_id", "text", "lang") == []
 
 
+def test_langid_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANG", 20)
+    monkeypatch.setattr(langid, "LONGEST", 1000)
+    copies = [(None, "the same words again", "en")] * 300
+    others = [(None if k % 2 else 7, f"text number {k}", "en") for k in range(300)] + [(k, f"texte {k}", "fr") for k in range(5)]
+    long = [(1, "word " * 400, "de"), (2, None, "de"), (3, "short", None)]
+    df = spark.createDataFrame(copies + others + long, "doc_id long, text string, lang string").repartition(4)
+    got = langid.sample(df, "doc_id", "text", "lang")
+    assert sorted(t for k, t in got if k == "fr") == [f"texte {k}".encode() for k in range(5)]
+    own = [t for k, t in got if k == "en"]
+    assert 10 <= len(own) <= 20 and len(set(own)) == len(own)
+    assert {k for k, _ in got} == {"en", "fr"}
+    assert got == langid.sample(df.repartition(3), "doc_id", "text", "lang")
+    copied = spark.createDataFrame(copies, df.schema)
+    assert langid.sample(copied, "doc_id", "text", "lang") == [("en", b"the same words again")]
+
+
 def test_features_in_pieces(monkeypatch):
     text = brute.prose(random.Random(8), 500).encode()
     whole = langid.features(text)
