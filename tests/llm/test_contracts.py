@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import pickle
 import random
 import re
 import zlib
@@ -97,6 +99,26 @@ def test_awkward_texts_are_scored(spark):
     assert len(got) == len(rows) and len({r["score"] for r in got if not (r["text"] or "").strip()}) == 1 and all(r["other"] == 7 for r in got)
 
 
+def test_the_classifier_is_trained_on_an_executor_and_comes_back_small(spark, tmp_path, monkeypatch):
+    r, driver, plain = random.Random(8), os.getpid(), toxicity.trained
+    docs = [(k, None if k == 7 else brute.prose(r, r.randint(3, 20)) + (" vilox" if k % 3 == 0 else ""), "en" if k % 2 else "fr") for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = plain([(k, (t or "").encode(), int(k % 3 == 0), lang) for k, t, lang in docs if crc(k, 3) != 1])
+
+    def elsewhere(rows):
+        assert os.getpid() != driver, "texts and layers are in the driver's memory"
+        return plain(rows)
+
+    monkeypatch.setattr(toxicity, "trained", elsewhere)
+    made = toxicity.model_of(spark, str(tmp_path))
+    texts = [(t or "").encode() for _, t, _ in docs]
+    assert len(pickle.dumps(made)) < 3 * toxicity.BUCKETS * toxicity.DIM * 4 + 1_000_000  # the embeddings of three nets, without the tables made of them
+    assert np.allclose(made.scores(texts, toxicity.Buckets()), want.scores(texts, toxicity.Buckets()), atol=1e-5)
+    spark.createDataFrame([], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.model_of(spark, str(tmp_path)) is None
+
+
 # The contract's three patterns, written out by hand.
 ASSIGN = re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
