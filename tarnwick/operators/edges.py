@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.functions.vectors import large
+
 SCHEMA_VERSION = 3
 MENTIONS = "src string, seq int, place int, target string, kind string"
 
@@ -186,7 +188,7 @@ def resolve(said: DataFrame, known: DataFrame) -> DataFrame:
     go = go.select("src", "seq", F.posexplode(tails).alias("k", "target"), "kind", "place").select("src", "seq", (F.col("place") * 100 + F.col("k")).cast("int").alias("place"), "target", "kind")
     all_ = said.where(~F.col("target").rlike("^[gp]:")).select("src", "seq", (F.col("place") * 100).cast("int").alias("place"), "target", "kind").unionByName(go)
     first = known.groupBy("target").agg(F.min("dst").alias("dst"))
-    hit = all_.join(first, "target").groupBy("src", "seq", "kind").agg(F.min_by("dst", F.struct("place", "dst")).alias("dst"))
+    hit = all_.join(large(first), "target").groupBy("src", "seq", "kind").agg(F.min_by("dst", F.struct("place", "dst")).alias("dst"))
     return hit.where("src <> dst").select("src", "dst", "kind").distinct()
 
 

@@ -44,7 +44,7 @@ def filled_sql(template: str) -> str:
 
 
 def code_files(spark, sf_dir: str, only: str = "") -> DataFrame:
-    parts = A.table(spark, sf_dir, "part").select("p_partkey")
+    parts = A.spread(A.table(spark, sf_dir, "part").select("p_partkey"))
     made = [F.struct(filled(p).alias("path"), filled(t).alias("text")) for p, t in SOURCES.items() if p.endswith(only)]
     return parts.select(F.explode(F.array(*made)).alias("f")).select("f.path", "f.text")
 
