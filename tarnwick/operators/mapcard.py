@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
-from tarnwick.functions.vectors import small
+from tarnwick.functions.vectors import large, small
 
 HEAD, TAIL, DEMOS = 8, 8, 2
 
@@ -27,7 +27,7 @@ def head_and_tail(pruned: DataFrame) -> DataFrame:
 
 def outline(spans: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
     """spans (qid, file, lo, hi) -> the symbols that overlap most lines: (qid, file, name, line, overlap)."""
-    both = spans.join(symbols.select("file", "name", "line", "end_line"), "file").where("line <= hi and end_line >= lo")
+    both = spans.join(large(symbols.select("file", "name", "line", "end_line")), "file").where("line <= hi and end_line >= lo")
     cut = F.least("hi", "end_line") - F.greatest("lo", "line") + 1
     sums = both.groupBy("qid", "file", "name", "line").agg(F.sum(cut).alias("overlap"))
     return sums.withColumn("r", F.row_number().over(Window.partitionBy("qid", "file").orderBy(F.col("overlap").desc(), "line"))).where(F.col("r") <= most).drop("r")
@@ -51,8 +51,7 @@ def defines(queries: DataFrame, symbols: DataFrame, most: int = 4) -> DataFrame:
     hit = symbols.where(~T.is_test_path("file")).select("file", "line", F.explode(F.array_distinct(F.array(F.col("name"), leaf))).alias("said")).join(said, "said")
     n = Window.partitionBy("qid", "said")
     few = hit.withColumn("n", F.count("*").over(n)).where("n <= 2").drop("n")
-    names = few.select("qid", "said").distinct().groupBy("qid").agg(F.collect_list("said").alias("all"))
-    kept = few.join(names, "qid").where(~F.exists("all", lambda o: (o != F.col("said")) & o.contains(F.col("said")))).drop("all")
+    kept = few.withColumn("all", F.collect_set("said").over(Window.partitionBy("qid"))).where(~F.exists("all", lambda o: (o != F.col("said")) & o.contains(F.col("said")))).drop("all")
     w = Window.partitionBy("qid").orderBy(F.length("said").desc(), "said", "file", "line")
     return kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
@@ -62,7 +61,7 @@ def trail(names: DataFrame, lines: DataFrame, symbols: DataFrame) -> DataFrame:
     words = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("said")).join(small(names), "said")
     at = symbols.select("file", "line", F.element_at(F.split("name", "[.]"), -1).alias("said"), F.lit(True).alias("here"))
     kind = F.when(T.is_test_path("file"), "tests").when(F.col("here"), "defines").otherwise("reads")
-    return words.join(at, ["file", "line", "said"], "left").withColumn("kind", kind)
+    return words.join(large(at), ["file", "line", "said"], "left").withColumn("kind", kind)
 
 
 def expand_pool(pool: DataFrame, query: str, terms: Callable[[str], list[str]] | None, search: Callable[[str], DataFrame]) -> DataFrame:
