@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions.vectors import large
+from tarnwick.operators.chunkers import UNPARSED
 
 SCHEMA_VERSION = 3
 MENTIONS = "src string, seq int, place int, target string, kind string"
@@ -46,7 +47,7 @@ def python_mentions(path: str, text: str) -> Iterator[tuple[int, str, str]]:
     """(place, target, kind) by mention: modules as ``m:`` names; calls only through an imported name."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return
     own = python_module(path).split(".")
     package = own if path.endswith("__init__.py") else own[:-1]

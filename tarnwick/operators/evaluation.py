@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.operators.chunkers import UNPARSED
+
 
 def recall_at(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """ranked (qid, file, rank), gold (qid, file) -> one row with r_at_k: the share of queries with a gold file among the first k."""
@@ -42,7 +44,7 @@ def largest_table(source: str) -> tuple[list[tuple[ast.expr, ast.expr]], int] |
     """Entries (first and last expression) and line span of the literal that takes the most lines of a Python file, if it is a table."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return None
     best = None
     for node in ast.walk(tree):
@@ -65,7 +67,7 @@ def python_targets(source: str) -> list[tuple[str, int, int]]:
         return [(words(first, last)[:QUESTION], first.lineno, last.end_lineno) for first, last in found[0]]
     try:
         body = ast.parse(source).body
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return []
     defs = [x for x in body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
     return [(f"{x.name} {ast.get_docstring(x) or ''}".strip()[:QUESTION], x.lineno, x.end_lineno) for x in defs]

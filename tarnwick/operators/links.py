@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.functions.vectors import large
 from tarnwick.operators import edges as E
+from tarnwick.operators.chunkers import UNPARSED
 
 USES = "src string, line int, name string, target string, place int, said string"
 
@@ -19,7 +21,7 @@ def python_uses(path: str, text: str) -> Iterator[tuple[int, str, str, int, str]
     """(line, name, module, place, said): calls and imports whose receiver is an imported name, or a variable built by an imported class."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return
     own = E.python_module(path).split(".")
     package = own if path.endswith("__init__.py") else own[:-1]
@@ -59,21 +61,21 @@ def use_sites(files: DataFrame) -> DataFrame:
 
     said = files.select("path", "text").mapInPandas(run, USES)
     known = E.address_table(files).groupBy("target").agg(F.min("dst").alias("dst"))
-    return said.join(known, "target").groupBy("src", "line", "name", "said").agg(F.min_by("dst", "place").alias("dst")).where("src <> dst")
+    return said.join(large(known), "target").groupBy("src", "line", "name", "said").agg(F.min_by("dst", "place").alias("dst")).where("src <> dst")
 
 
 def inferred_sites(lines: DataFrame, symbols: DataFrame, pairs: DataFrame) -> DataFrame:
     """For pairs (src, dst) in other languages: lines of src that hold a name which dst defines, as a whole word."""
-    names = symbols.select(F.col("file").alias("dst"), F.element_at(F.split("name", "[.]"), -1).alias("name")).distinct().join(pairs, "dst")
+    names = symbols.select(F.col("file").alias("dst"), F.element_at(F.split("name", "[.]"), -1).alias("name")).distinct().join(large(pairs), "dst")
     words = lines.select(F.col("file").alias("src"), "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
-    return words.join(names, ["src", "name"]).select("src", "line", "name", "dst", F.lit("inferred").alias("said"))
+    return words.join(large(names), ["src", "name"]).select("src", "line", "name", "dst", F.lit("inferred").alias("said"))
 
 
 def file_links(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """Go to definition: (src, line, name) -> (dst, at)."""
     s = symbols.select(F.col("file").alias("dst"), F.col("name").alias("full"), F.col("line").alias("at"))
     exact = (F.col("full") == F.col("name")) | F.col("full").endswith(F.concat(F.lit("."), F.col("name")))
-    return sites.join(s, "dst").where(exact).groupBy("src", "line", "name", "dst").agg(F.min("at").alias("at"))
+    return sites.join(large(s), "dst").where(exact).groupBy("src", "line", "name", "dst").agg(F.min("at").alias("at"))
 
 
 def hop_symbols(sites: DataFrame, most: int = 4) -> DataFrame:
