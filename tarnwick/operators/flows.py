@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
-from tarnwick.functions.vectors import dot, small, unit
+from tarnwick.functions.vectors import dot, large, small, unit
 from tarnwick.params import DEFAULTS, Params
 
 MAX_TEXT = 14_000
@@ -21,7 +21,7 @@ def cache_flows(flows: DataFrame, new: DataFrame, p: Params = DEFAULTS) -> DataF
     """flows and new ones; a stored flow whose question is nearly that of a new one is replaced."""
     n = small(new.select(F.col("id").alias("_n"), F.col("qvec").alias("_q")))
     same = flows.crossJoin(n).where(dot(F.col("qvec"), F.col("_q")) > p.flow_same).select("id").distinct()
-    return flows.join(same, "id", "left_anti").unionByName(new)
+    return flows.join(large(same), "id", "left_anti").unionByName(new)
 
 
 def match_flows(flows: DataFrame, queries: DataFrame, p: Params = DEFAULTS, top: int = 2) -> DataFrame:
@@ -34,7 +34,7 @@ def match_flows(flows: DataFrame, queries: DataFrame, p: Params = DEFAULTS, top:
 def current(flows: DataFrame, files: DataFrame) -> DataFrame:
     """(id, current): whether every cited file still has the hash it was cited with."""
     cited = flows.select("id", F.explode_outer("files").alias("path", "was"))
-    now = cited.join(files.select("path", F.col("sha").alias("now")), "path", "left")
+    now = cited.join(large(files.select("path", F.col("sha").alias("now"))), "path", "left")
     return now.groupBy("id").agg(F.min(F.when(F.col("path").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("was") == F.col("now"), F.lit(False)))).alias("current"))
 
 
@@ -43,7 +43,7 @@ def stale(flows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def prune_stale(flows: DataFrame, files: DataFrame) -> DataFrame:
-    return flows.join(stale(flows, files), "id", "left_anti")
+    return flows.join(large(stale(flows, files)), "id", "left_anti")
 
 
 def serve(flows: DataFrame, queries: DataFrame, files: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -63,4 +63,4 @@ def flow_lane(bundle: DataFrame, matched: DataFrame, flows: DataFrame, most: int
 
 def listing(flows: DataFrame, files: DataFrame) -> DataFrame:
     """Newest first, with whether they are stale."""
-    return flows.join(current(flows, files), "id").select("id", "question", "created", (~F.col("current")).alias("stale")).orderBy(F.col("created").desc(), "id")
+    return flows.join(large(current(flows, files)), "id").select("id", "question", "created", (~F.col("current")).alias("stale")).orderBy(F.col("created").desc(), "id")
