@@ -9,7 +9,7 @@ from tarnwick.operators import evaluation as E
 from tarnwick.operators import graph as G
 from tarnwick.operators import rerank as R
 from tarnwick.plans import adapters as A
-from tarnwick.plans.retrieval import BUNDLE, RANKED, SCORED, bundle, scored
+from tarnwick.plans.retrieval import BUNDLE, RANKED, SCORED, bundle, shortlist
 from tarnwick.operators import bundle as B
 from tarnwick.streaming import limiter
 
@@ -51,7 +51,7 @@ def central_files(spark, sf_dir: str) -> DataFrame:
 
 def recall_at(spark, sf_dir: str) -> DataFrame:
     """A query's own file is its gold."""
-    ranked = B.rank_files(scored(spark, sf_dir))
+    ranked = B.rank_files(shortlist(spark, sf_dir, of_file=1))
     gold = A.table(spark, sf_dir, "embeddings").where(A.in_query_set()).select(F.col("vec_id").alias("qid"), A.label_file(F.col("label")).alias("file"))
     return E.recall_at(ranked, gold)
 
@@ -63,7 +63,7 @@ def bundle_full(spark, sf_dir: str) -> DataFrame:
 
 def rerank_merge(spark, sf_dir: str) -> DataFrame:
     """Verdicts of batches (each keeps two, best first) merged round robin, with the first of all rescued."""
-    s = scored(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))).where("rank <= 24")
+    s = shortlist(spark, sf_dir, of_all=24).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))).where("rank <= 24")
     w = Window.partitionBy("qid", "batch").orderBy((F.col("id") * 7) % 11, "id")
     verdict = s.withColumn("batch", F.floor((F.col("rank") - 1) / 8).cast("int")).withColumn("place", F.row_number().over(w)).where("place <= 2")
     return R.merge_round_robin(verdict.select("qid", "batch", "place", "id"), s.select("qid", "id", "rank")).select("qid", "id", F.col("order").cast("long").alias("order"), "rescued")
